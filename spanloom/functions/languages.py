@@ -57,13 +57,17 @@ def by_suffix(suffix: Column, table: dict, build) -> Column:
     return out
 
 
+def is_source(path: Column) -> Column:
+    return path.rlike(r"\.(?:" + "|".join(STYLES) + r")$")
+
+
 def block_style(suffix: Column) -> Column:
     return by_suffix(suffix, STYLES, F.lit)
 
 
-def bare_text(text: Column, suffix: Column) -> Column:
-    """The line without string literals and without the rest-of-line comment."""
-    quoted = F.when(
+def without_strings(text: Column) -> Column:
+    """The line with its string literals emptied."""
+    return F.when(
         F.instr(text, '"') + F.instr(text, "'") > 0,
         F.regexp_replace(
             text,
@@ -71,43 +75,44 @@ def bare_text(text: Column, suffix: Column) -> Column:
             '""',
         ),
     ).otherwise(text)
-    mark = F.when(suffix == "py", F.lit("#")).otherwise(F.lit("//"))
-    at = F.instr(quoted, mark)
-    return F.when(at > 0, F.left(quoted, at - 1)).otherwise(quoted)
 
 
-def _name(text: Column, suffix: Column, rules: dict) -> Column:
-    got = by_suffix(suffix, rules, lambda rule: F.regexp_extract(text, rule, 1))
-    return F.when(got == "", None).otherwise(got)
+def comment_at(text: Column, suffix: Column) -> Column:
+    """Position of the rest-of-line comment, 0 when there is none."""
+    return F.when(suffix == "py", F.instr(text, "#")).otherwise(F.instr(text, "//"))
+
+
+def function_match(text: Column, suffix: Column) -> Column:
+    """Name of the function starting on this line, '' when none does."""
+    return by_suffix(suffix, FUNCTION_RULES, lambda rule: F.regexp_extract(text, rule, 1))
 
 
-def function_name(text: Column, suffix: Column) -> Column:
-    """Name of the function starting on this line, else NULL."""
-    got = _name(text, suffix, FUNCTION_RULES)
+def is_loose(name: Column, text: Column, suffix: Column) -> Column:
+    """A C-like match that is a statement (``else if (x) {``, ``return f(x``), no definition."""
+    words = by_suffix(
+        suffix,
+        {k: KEYWORDS[k] for k in ("c", "cpp")},
+        lambda w: F.array(*[F.lit(x) for x in w.split()]),
+    )
     opener = F.regexp_extract(text, r"^\s*([A-Za-z_]\w*)", 1)
-    words = by_suffix(suffix, KEYWORDS, lambda w: F.array(*[F.lit(x) for x in w.split()]))
-    loose = suffix.isin("c", "cpp") & (
-        F.array_contains(words, got) | F.array_contains(words, opener)
+    return suffix.isin("c", "cpp") & (
+        F.array_contains(words, name) | F.array_contains(words, opener)
     )
-    return F.when(loose, None).otherwise(got)
 
 
-def class_name(text: Column, suffix: Column) -> Column:
-    """Name of the class, struct, trait, ... starting on this line, else NULL."""
-    return _name(text, suffix, CLASS_RULES)
+def class_match(text: Column, suffix: Column) -> Column:
+    """Name of the class, struct, trait, ... starting on this line, '' when none does."""
+    return by_suffix(suffix, CLASS_RULES, lambda rule: F.regexp_extract(text, rule, 1))
+
+
+def call_names(bare: Column, suffix: Column) -> Column:
+    """Names followed by ``(``, in order, without the keywords of the language."""
 
+    def names(words):
+        stop = "|".join(words.split())
+        return F.regexp_extract_all(bare, F.lit(rf"\b(?!(?:{stop})\b){CALL}"), 1)
 
-def call_names(bare: Column, suffix: Column, own: Column) -> Column:
-    """Names followed by ``(``, in order, without keywords and without the defined name."""
-    found = F.regexp_extract_all(bare, F.lit(CALL), 1)
-    words = by_suffix(suffix, KEYWORDS, lambda w: F.array(*[F.lit(x) for x in w.split()]))
-    names = F.filter(found, lambda x: ~F.array_contains(words, x))
-    at = F.array_position(names, own).cast("int")
-    trimmed = F.when(
-        own.isNotNull() & (at > 0),
-        F.concat(F.slice(names, 1, at - 1), F.slice(names, at + 1, F.size(names))),
-    ).otherwise(names)
-    return F.when(F.instr(bare, "(") > 0, trimmed)
+    return F.when(F.instr(bare, "(") > 0, by_suffix(suffix, KEYWORDS, names))
 
 
 def brace_walk(bare: Column) -> Column:

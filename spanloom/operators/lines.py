@@ -17,9 +17,11 @@ NO_LINE = -1
 
 def split_lines(files: DataFrame) -> DataFrame:
     """``files`` -> ``lines(path, line_no, text)``; map-only."""
-    return files.select("path", F.posexplode(tx.line_array(F.col("content")))).select(
-        "path", (F.col("pos") + 1).alias("line_no"), F.col("col").alias("text")
+    row = F.transform("body", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("text")))
+    numbered = tx.with_line_array(files.select("path", "content")).select(
+        "path", F.explode(row).alias("row")
     )
+    return numbered.select("path", "row.line_no", "row.text")
 
 
 def line_counts(files: DataFrame) -> DataFrame:
@@ -64,8 +66,8 @@ def slice_lines(lines: DataFrame, requests: DataFrame) -> DataFrame:
 def _tokens(requests: DataFrame) -> DataFrame:
     """One row per comma-separated token with its bounds; bounds are NULL for a bad token."""
     token = F.trim(F.col("token"))
-    pair = token.rlike(r"^\d+\s*-\s*\d+$")
-    single = token.rlike(r"^[+-]?\d+$") & ~F.contains(token, F.lit("-"))
+    pair = token.rlike(r"^\+?\d+\s*-\s*\d+$")
+    single = token.rlike(r"^\+?\d+$")
     first = F.regexp_extract(token, r"^[+]?(\d+)", 1).try_cast("int")
     last = F.when(pair, F.regexp_extract(token, r"(\d+)$", 1).try_cast("int")).otherwise(first)
     return (
