@@ -27,16 +27,18 @@ def call_graph(
     styles: tuple[str, ...] = ("indent", "brace"),
     materialize: bool = True,
     innermost: bool = False,
+    code: DataFrame | None = None,
 ) -> CallGraph:
     """Definitions, nodes, calls and edges of a corpus.
 
     The text is read once: with ``materialize`` the code rows (no text) and then the definitions
     are written to the shared folder, and every later branch reads only its columns from there.
-    Without it each branch derives the rows again, which suits a single small output.
+    Without it each branch derives the rows again, which suits a single small output. ``code``
+    passes code rows that are already there.
     """
-    code = ex.code_lines(files)
-    if materialize:
-        code = cut(code, "code")
+    if code is None:
+        code = ex.code_lines(files)
+        code = cut(code, "code") if materialize else code
     found = ex.span_ends(code, styles)
     if materialize:
         found = cut(found, "found")
