@@ -41,24 +41,32 @@ def _ddl(fields: str) -> str:
 
 
 def parse_answers(clean: DataFrame) -> DataFrame:
-    """``actions(request_id, ordinal, name, input)``; empty answers and no ``actions`` give none."""
-    good = _parsed(clean).where(~F.col("_bad"))
-    return good.select(
-        "request_id", F.posexplode(F.get("_docs", F.lit(0))["actions"]).alias("ordinal", "action")
-    ).select(
-        "request_id",
-        "ordinal",
-        F.col("action.name").alias("name"),
-        F.coalesce("action.input", F.create_map().cast("map<string,string>")).alias("input"),
+    """``actions(request_id, ordinal, name, input)``; empty answers and no ``actions`` give none.
+
+    Bad answers are left out by an outer explode of NULL, not by a filter: a filter on the parse
+    result would be pushed below the parse and clean the text once more for each mention.
+    """
+    actions = F.when(~F.col("_bad"), F.get("_docs", F.lit(0))["actions"])
+    return (
+        _parsed(clean)
+        .select("request_id", F.posexplode_outer(actions).alias("ordinal", "action"))
+        .where(F.col("ordinal").isNotNull())
+        .select(
+            "request_id",
+            "ordinal",
+            F.col("action.name").alias("name"),
+            F.coalesce("action.input", F.create_map().cast("map<string,string>")).alias("input"),
+        )
     )
 
 
 def bad_answers(clean: DataFrame) -> DataFrame:
     """Answers that are no JSON object: quarantine rows with reason ``bad_json``."""
+    bad = F.when(F.col("_bad"), F.array("raw"))
     return (
         _parsed(clean)
-        .where("_bad")
-        .select("request_id", F.lit("bad_json").alias("reason"), "raw")
+        .select("request_id", F.lit("bad_json").alias("reason"), F.explode_outer(bad).alias("raw"))
+        .where(F.col("raw").isNotNull())
     )
 
 
@@ -125,9 +133,12 @@ def _with_request(actions: DataFrame, requests: DataFrame, columns: list[str]) -
 def answers_to_found(actions: DataFrame, requests: DataFrame) -> DataFrame:
     """``found_target`` actions -> ``found`` rows plus ``file``; the file falls back to the path.
 
-    ``requests`` has one row per ``request_id`` with ``path`` and ``target_id``.
+    ``requests`` has one row per ``request_id`` with ``path`` and ``target_id``, and with
+    ``parent_id`` when it reads inside a parent.
     """
-    rows = _with_request(actions.where(F.col("name") == "found_target"), requests, ["path", "target_id"])
+    nested = "parent_id" in requests.columns
+    columns = ["path", "target_id", "parent_id"] if nested else ["path", "target_id"]
+    rows = _with_request(actions.where(F.col("name") == "found_target"), requests, columns)
     field = F.col("input")
     return rows.select(
         "path",
@@ -135,7 +146,7 @@ def answers_to_found(actions: DataFrame, requests: DataFrame) -> DataFrame:
         F.coalesce(field["function_name"], field["class_name"]).alias("name"),
         field["start_line"].try_cast("int").alias("start_line"),
         field["end_line"].try_cast("int").alias("end_line"),
-        F.lit(None).cast("string").alias("parent_id"),
+        (F.col("parent_id") if nested else F.lit(None).cast("string")).alias("parent_id"),
         F.coalesce(field["file"], F.col("path")).alias("file"),
     )
 

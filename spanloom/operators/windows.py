@@ -93,21 +93,23 @@ def subtract_claimed(windows: DataFrame, claimed: DataFrame, keys: tuple[str, ..
 
 
 def window_requests(windows: DataFrame, targets: tuple[Target, ...] | list[Target]) -> DataFrame:
-    """One read request per window and target."""
+    """One read request per window and target; further columns of ``windows`` are kept."""
     ids = F.array(*[F.lit(t.target_id) for t in targets])
     return (
         windows.withColumn("target_id", F.explode(ids))
         .withColumn("spec", F.lit(""))
         .withColumn("start", F.col("start_line"))
         .withColumn("end", F.col("end_line"))
-        .withColumn("request_id", request_id())
+        .withColumn("request_id", request_id("parent_id" in windows.columns))
         .drop("window_id", "start_line", "end_line")
     )
 
 
-def request_id() -> Column:
+def request_id(nested: bool = False) -> Column:
+    """Identity of a request: what is asked, where and without which lines."""
+    scope = ["parent_id"] if nested else ["path"]
     return F.concat_ws(
-        ":", "path", "target_id", F.col("start").cast("string"), F.col("end").cast("string"), "spec"
+        ":", *scope, "target_id", F.col("start").cast("string"), F.col("end").cast("string"), "spec"
     )
 
 
@@ -186,11 +188,17 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("prompt_key", F.sha2("prompt", 256))
 
 
-def next_round(actions: DataFrame, requests: DataFrame, counts: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+def next_round(
+    actions: DataFrame,
+    requests: DataFrame,
+    counts: DataFrame,
+    seen: DataFrame | None = None,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
     """Follow-up requests from ``retry_with`` actions, never one that was asked before.
 
     Of several retries in one answer the last one counts. Ranges are cut to the file. The
-    columns of a request are ``(request_id, path, target_id, start, end, spec)``.
+    columns of a request are ``(request_id, path, target_id, start, end, spec)`` and ``carry``.
     """
     retry = (
         actions.where(F.col("name") == "retry_with")
@@ -205,23 +213,21 @@ def next_round(actions: DataFrame, requests: DataFrame, counts: DataFrame, seen:
         .groupBy("request_id")
         .agg(F.max(F.struct("ordinal", "start", "end", "spec")).alias("r"))
     )
-    asked = join_lookup(
-        requests.select("request_id", "path", "target_id"), retry, "request_id"
-    )
+    kept = ["path", "target_id", *carry]
+    asked = join_lookup(requests.select("request_id", *kept), retry, "request_id")
     sized = join_lookup(asked, counts.select("path", "n_lines"), "path")
     fresh = (
         sized.select(
-            "path",
-            "target_id",
+            *kept,
             F.greatest(F.col("r.start"), F.lit(1)).alias("start"),
             F.least(F.col("r.end"), F.col("n_lines")).alias("end"),
             F.col("r.spec").alias("spec"),
         )
         .where(F.col("start") <= F.col("end"))
         .distinct()
-        .withColumn("request_id", request_id())
+        .withColumn("request_id", request_id("parent_id" in carry))
     )
     past = requests.select("request_id") if seen is None else seen.select("request_id")
     return fresh.join(past, "request_id", "left_anti").select(
-        "request_id", "path", "target_id", "start", "end", "spec"
+        "request_id", *kept, "start", "end", "spec"
     )
