@@ -12,8 +12,35 @@ from pyspark.sql import functions as F
 # File suffix -> block style.
 STYLES = {"py": "indent", "c": "brace", "cpp": "brace", "go": "brace", "rs": "brace"}
 
+# Words that look like a call or a definition name but are neither.
+KEYWORDS = {
+    "py": "and as assert async await class def del elif else except finally for from global if "
+    "import in is lambda nonlocal not or pass raise return try while with yield",
+    "c": "alignof case defined do else for goto if return sizeof switch typedef while",
+    "cpp": "alignof case catch decltype delete do else for goto if new noexcept return sizeof "
+    "static_assert switch throw typeid while",
+    "go": "case chan defer else for func go if import interface map range return select struct "
+    "switch type var",
+    "rs": "as async await dyn else fn for if impl in let loop match move mut pub ref return "
+    "self super unsafe use where while",
+}
 _NAME = r"([A-Za-z_]\w*)"
-_C_FUNCTION = r"^\s*(?:[A-Za-z_][\w:<>,&*\s]*[\s*&])(?:[A-Za-z_]\w*::)*~?" + _NAME + r"\s*\((?:[^;{]|$)*(?:\{.*)?$"
+CALL = r"([A-Za-z_]\w*)\s*\("
+
+
+def _no_word(suffix: str) -> str:
+    """Look-ahead that refuses the keywords of a language."""
+    return rf"(?!(?:{'|'.join(KEYWORDS[suffix].split())})\b)"
+
+
+def _c_function(suffix: str) -> str:
+    """Return type, name and bracket; a statement such as ``else if (x) {`` is refused."""
+    stop = _no_word(suffix)
+    return (
+        rf"^\s*{stop}(?:[A-Za-z_][\w:<>,&*\s]*[\s*&])(?:[A-Za-z_]\w*::)*~?{stop}{_NAME}"
+        r"\s*\([^;{]*(?:\{.*)?$"
+    )
+
 
 # Suffix -> pattern of a line that starts a function, name in group 1.
 FUNCTION_RULES = {
@@ -21,8 +48,8 @@ FUNCTION_RULES = {
     "rs": r'^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:default|async|const|unsafe|extern(?:\s+"[^"]*")?)\s+)*fn\s+'
     + _NAME,
     "go": r"^\s*func\s+(?:\([^)]*\)\s*)?" + _NAME + r"\s*[(\[]",
-    "c": _C_FUNCTION,
-    "cpp": _C_FUNCTION,
+    "c": _c_function("c"),
+    "cpp": _c_function("cpp"),
 }
 # Suffix -> pattern of a line that starts a class-like definition.
 CLASS_RULES = {
@@ -33,19 +60,8 @@ CLASS_RULES = {
     "c": r"^\s*(?:typedef\s+)?(?:struct|union|enum)\s+" + _NAME + r"\s*(?:\{.*)?$",
     "cpp": r"^\s*(?:template\s*<[^>]*>\s*)?(?:class|struct|union|enum)\s+" + _NAME + r"[^;()]*(?:\{.*)?$",
 }
-# Words that look like a call or a definition name but are neither.
-KEYWORDS = {
-    "py": "and as assert async await class def del elif else except finally for from global if "
-    "import in is lambda nonlocal not or pass raise return try while with yield",
-    "c": "alignof case defined do else for goto if return sizeof switch typedef while",
-    "cpp": "alignof case catch decltype delete do else for goto if new noexcept return sizeof "
-    "static_assert switch throw typeid while",
-    "go": "case chan defer else for func go if import interface map range return select struct "
-    "switch type var",
-    "rs": "as async await dyn else fn for if impl in let loop match move mut pub ref return "
-    "self super unsafe use where while",
-}
-CALL = r"([A-Za-z_]\w*)\s*\("
+# Suffix -> pattern of a call, name in group 1, keywords refused.
+CALL_RULES = {suffix: rf"\b{_no_word(suffix)}{CALL}" for suffix in KEYWORDS}
 
 
 def by_suffix(suffix: Column, table: dict, build) -> Column:
@@ -82,49 +98,47 @@ def comment_at(text: Column, suffix: Column) -> Column:
     return F.when(suffix == "py", F.instr(text, "#")).otherwise(F.instr(text, "//"))
 
 
-def function_match(text: Column, suffix: Column) -> Column:
-    """Name of the function starting on this line, '' when none does."""
-    return by_suffix(suffix, FUNCTION_RULES, lambda rule: F.regexp_extract(text, rule, 1))
+def rule_for(suffix: Column, rules: dict) -> Column:
+    """The pattern of a row's language.
 
+    One expression with a pattern column instead of one per language: the pattern is compiled
+    once per run of equal values, and the generated code stays small enough for the JIT.
+    """
+    return by_suffix(suffix, rules, F.lit)
 
-def is_loose(name: Column, text: Column, suffix: Column) -> Column:
-    """A C-like match that is a statement (``else if (x) {``, ``return f(x``), no definition."""
-    words = by_suffix(
-        suffix,
-        {k: KEYWORDS[k] for k in ("c", "cpp")},
-        lambda w: F.array(*[F.lit(x) for x in w.split()]),
-    )
-    opener = F.regexp_extract(text, r"^\s*([A-Za-z_]\w*)", 1)
-    return suffix.isin("c", "cpp") & (
-        F.array_contains(words, name) | F.array_contains(words, opener)
-    )
 
+def match_name(text: Column, rule: Column) -> Column:
+    """Group 1 of the pattern, '' when it does not match."""
+    return F.call_function("regexp_extract", text, rule, F.lit(1))
 
-def class_match(text: Column, suffix: Column) -> Column:
-    """Name of the class, struct, trait, ... starting on this line, '' when none does."""
-    return by_suffix(suffix, CLASS_RULES, lambda rule: F.regexp_extract(text, rule, 1))
 
-
-def call_names(bare: Column, suffix: Column) -> Column:
+def call_names(bare: Column, rule: Column) -> Column:
     """Names followed by ``(``, in order, without the keywords of the language."""
+    return F.when(F.instr(bare, "(") > 0, F.regexp_extract_all(bare, rule, 1))
+
 
-    def names(words):
-        stop = "|".join(words.split())
-        return F.regexp_extract_all(bare, F.lit(rf"\b(?!(?:{stop})\b){CALL}"), 1)
+def braces_of(bare: Column) -> Column:
+    """Only the braces of the line."""
+    return F.when(bare.rlike("[{}]"), F.regexp_replace(bare, r"[^{}]+", "")).otherwise(F.lit(""))
 
-    return F.when(F.instr(bare, "(") > 0, by_suffix(suffix, KEYWORDS, names))
 
+def depth_change(braces: Column) -> Column:
+    """Change of depth over the line."""
+    opens = F.octet_length(F.replace(braces, F.lit("}"), F.lit("")))
+    return opens * 2 - F.octet_length(braces)
 
-def brace_walk(bare: Column) -> Column:
-    """``STRUCT<net INT, dip INT>``: change of depth over the line and its lowest point (<= 0)."""
-    signs = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
-    start = F.struct(F.lit(0).alias("net"), F.lit(0).alias("dip"))
 
-    def step(acc, sign):
-        net = acc["net"] + F.when(sign == "{", 1).when(sign == "}", -1).otherwise(0)
-        return F.struct(net.alias("net"), F.least(acc["dip"], net).alias("dip"))
+def depth_dip(braces: Column) -> Column:
+    """Lowest depth reached in the line, relative to its start; never above 0.
 
-    return F.when(bare.rlike("[{}]"), F.aggregate(signs, start, step)).otherwise(start)
+    Pairs are taken out from the inside; the ``}`` left in front are the blocks closed. Pairs
+    nested deeper than the four steps are covered by the total change of the line.
+    """
+    rest = braces
+    for _ in range(4):
+        rest = F.replace(rest, F.lit("{}"), F.lit(""))
+    closed = F.octet_length(rest) - F.octet_length(F.ltrim(rest, F.lit("}")))
+    return F.least(-closed, depth_change(braces), F.lit(0))
 
 
 def first_mark(bare: Column) -> Column:

@@ -39,7 +39,7 @@ def is_blank(text: Column) -> Column:
 
 
 def suffix_of(path: Column) -> Column:
-    return F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)
+    return F.substring_index(path, ".", -1)
 
 
 def folder_of(path: Column) -> Column:

@@ -116,7 +116,8 @@ def _features(rows: DataFrame) -> DataFrame:
 
     Every pattern is evaluated in a layer of its own, so that no later expression repeats it.
     """
-    suffix, bare, hit = F.col("suffix"), F.col("bare"), F.col("hit")
+    suffix, bare = F.col("suffix"), F.col("bare")
+    name = F.when(F.col("function") != "", F.col("function")).when(F.col("class") != "", F.col("class"))
     named = (
         rows.withColumn("suffix", tx.suffix_of(F.col("path")))
         .withColumn("plain", lang.without_strings(F.col("rest")))
@@ -125,15 +126,19 @@ def _features(rows: DataFrame) -> DataFrame:
             "bare",
             F.when(F.col("cut_at") > 0, F.left("plain", F.col("cut_at") - 1)).otherwise(F.col("plain")),
         )
-        .withColumn("hit", lang.function_match(bare, suffix))
-        .withColumn("function", F.when((hit != "") & ~lang.is_loose(hit, bare, suffix), hit))
-        .withColumn("class", F.when(F.col("function").isNull(), lang.class_match(bare, suffix)))
-        .withColumn("name", F.coalesce("function", F.when(F.col("class") != "", F.col("class"))))
-        .withColumn("called", lang.call_names(bare, suffix))
+        .withColumn("function", lang.match_name(bare, lang.rule_for(suffix, lang.FUNCTION_RULES)))
+        .withColumn(
+            "class",
+            F.when(
+                F.col("function") == "",
+                lang.match_name(bare, lang.rule_for(suffix, lang.CLASS_RULES)),
+            ).otherwise(F.lit("")),
+        )
+        .withColumn("called", lang.call_names(bare, lang.rule_for(suffix, lang.CALL_RULES)))
         .withColumn("style", lang.block_style(suffix))
-        .withColumn("walk", F.when(F.col("style") == "brace", lang.brace_walk(bare)))
+        .withColumn("braces", F.when(F.col("style") == "brace", lang.braces_of(bare)))
     )
-    own_first = F.get("called", F.lit(0)) == F.col("name")
+    own_first = F.get("called", F.lit(0)) == name
     return named.select(
         "path",
         "line_no",
@@ -143,16 +148,14 @@ def _features(rows: DataFrame) -> DataFrame:
         "closes",
         "next_indent",
         "last_line",
-        F.when(F.col("function").isNotNull(), "function")
-        .when(F.col("name").isNotNull(), "class")
-        .alias("kind"),
-        "name",
+        F.when(F.col("function") != "", "function").when(F.col("class") != "", "class").alias("kind"),
+        name.alias("name"),
         F.when(own_first, F.slice("called", 2, F.size("called")))
         .otherwise(F.col("called"))
         .alias("calls"),
         (F.instr("rest", "(") > 0).alias("has_bracket"),
-        F.col("walk.net").alias("net"),
-        F.col("walk.dip").alias("dip"),
+        lang.depth_change(F.col("braces")).alias("net"),
+        lang.depth_dip(F.col("braces")).alias("dip"),
         F.when(F.col("style") == "brace", lang.first_mark(bare)).alias("mark"),
     )
 
