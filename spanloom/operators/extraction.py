@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import languages as lang
 from ..functions import text as tx
-from ..plans.ordered import following, preceding, running_sum
+from ..plans.ordered import following, following_by_size, preceding, running_sum
 from ..plans.spans import join_spans
 
 # A line that starts with one of these continues the statement above it.
@@ -271,15 +271,19 @@ def _brace_events(code: DataFrame) -> DataFrame:
     )
 
 
-def span_ends(code: DataFrame, styles: tuple[str, ...] = ("indent", "brace")) -> DataFrame:
+def span_ends(
+    code: DataFrame, styles: tuple[str, ...] = ("indent", "brace"), stored: bool = False
+) -> DataFrame:
     """Definitions with their last line: ``found`` rows without parents.
 
     ``styles`` names the block styles to look for; leave one out when the corpus has none of it.
+    ``stored`` says that ``code`` is a written table, which makes a second read of it cheap.
     """
     parts = {"indent": _indent_events, "brace": _brace_events}
     streams = [parts[s](code) for s in styles]
     events = streams[0] if len(streams) == 1 else streams[0].unionByName(streams[1])
-    closed = following(events, ["path", "level"], "at", F.col("closed_at"), "end_found")
+    look_up = (events, ["path", "level"], "at", F.col("closed_at"), "end_found")
+    closed = following_by_size(*look_up, last="last_line") if stored else following(*look_up)
     return closed.where(F.col("kind").isNotNull()).select(
         "path",
         F.col("kind").alias("target_id"),

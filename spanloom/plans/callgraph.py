@@ -31,21 +31,21 @@ def call_graph(
 ) -> CallGraph:
     """Definitions, nodes, calls and edges of a corpus.
 
-    The text is read once: with ``materialize`` the code rows (no text) and then the definitions
-    are written to the shared folder, and every later branch reads only its columns from there.
+    The text is read once: with ``materialize`` the code rows (no text), the definitions and the
+    edges are written to the shared folder, and every reader takes only its columns from there.
     Without it each branch derives the rows again, which suits a single small output. ``code``
     passes code rows that are already there.
     """
     if code is None:
         code = ex.code_lines(files)
         code = cut(code, "code") if materialize else code
-    found = ex.span_ends(code, styles)
+    found = ex.span_ends(code, styles, stored=materialize)
     if materialize:
         found = cut(found, "found")
     nodes = gr.build_nodes(found)
     calls = ex.find_calls(code, found.where(F.col("target_id") == "function"), innermost)
     edges = gr.build_edges(gr.resolve_callees(calls, nodes))
-    return CallGraph(found, nodes, calls, edges)
+    return CallGraph(found, nodes, calls, cut(edges, "edges") if materialize else edges)
 
 
 def most_called(graph: CallGraph) -> DataFrame:

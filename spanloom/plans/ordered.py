@@ -48,6 +48,30 @@ def following(
     return _nearest(df, keys, pos, value, out, block, up=False)
 
 
+def following_by_size(
+    df: DataFrame, keys: list[str], pos: str, value: Column, out: str, last: str, block: int = BLOCK
+) -> DataFrame:
+    """``following`` for rows that know the last position of their key in column ``last``.
+
+    Keys that fit one block, nearly all of them, take one window and one shuffle. The branch for
+    longer keys reads its rows by a filter on ``last``; use this on a stored table, where that
+    filter skips row groups, since ``df`` is read twice.
+    """
+    short = df.where(F.col(last) < block)
+    whole = (
+        Window.partitionBy(*keys)
+        .orderBy(F.col(pos).desc())
+        .rangeBetween(Window.unboundedPreceding, -1)
+    )
+    near = (
+        short.withColumn("_value", value)
+        .withColumn(out, F.last("_value", ignorenulls=True).over(whole))
+        .drop("_value")
+    )
+    long = following(df.where(F.col(last) >= block), keys, pos, value, out, block)
+    return near.unionByName(long)
+
+
 def preceding(
     df: DataFrame, keys: list[str], pos: str, value: Column, out: str, block: int = BLOCK
 ) -> DataFrame:

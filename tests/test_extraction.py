@@ -244,11 +244,12 @@ def test_block_edges_do_not_matter(spark, monkeypatch):
     code = ex.code_lines(source)
     want = spans(ex.span_ends(code))
     small = {}
-    for name in ("following", "preceding", "running_sum"):
+    for name in ("following", "following_by_size", "preceding", "running_sum"):
         whole = getattr(ordered, name)
-        small[name] = lambda *a, _f=whole: _f(*a, block=7)
+        small[name] = lambda *a, _f=whole, **k: _f(*a, **k, block=7)
         monkeypatch.setattr(ex, name, small[name])
     assert spans(ex.span_ends(code)) == want
+    assert spans(ex.span_ends(code, stored=True)) == want
     assert spans(ex.span_ends(ex.code_lines_of(ln.split_lines(source)))) == want
 
 
