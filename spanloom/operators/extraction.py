@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import languages as lang
 from ..functions import text as tx
+from ..plans.lookup import join_lookup
 from ..plans.ordered import following, following_by_size, preceding, running_sum
 from ..plans.spans import join_spans
 
@@ -72,7 +73,7 @@ def code_lines_of(lines: DataFrame) -> DataFrame:
     both = following(back, ["path"], "line_no", here, "_ahead")
     ends = filled.groupBy("path").agg(F.max("line_no").alias("last_line"))
     above = _prev_indent(F.col("_back.indent"), F.col("_back.rest"), F.col("_back2.indent"))
-    rows = both.join(ends, "path").select(
+    rows = join_lookup(both, ends, "path").select(
         "path",
         "line_no",
         "rest",

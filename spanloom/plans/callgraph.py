@@ -27,25 +27,28 @@ def call_graph(
     styles: tuple[str, ...] = ("indent", "brace"),
     materialize: bool = True,
     innermost: bool = False,
-    code: DataFrame | None = None,
 ) -> CallGraph:
     """Definitions, nodes, calls and edges of a corpus.
 
     The text is read once: with ``materialize`` the code rows (no text), the definitions and the
     edges are written to the shared folder, and every reader takes only its columns from there.
-    Without it each branch derives the rows again, which suits a single small output. ``code``
-    passes code rows that are already there.
+    Without it each branch derives the rows again, which suits a single small output.
     """
-    if code is None:
-        code = ex.code_lines(files)
-        code = cut(code, "code") if materialize else code
-    found = ex.span_ends(code, styles, stored=materialize)
-    if materialize:
-        found = cut(found, "found")
+    code = ex.code_lines(files)
+    if not materialize:
+        return graph_from(code, ex.span_ends(code, styles), innermost)
+    code = cut(code, "code")
+    found = cut(ex.span_ends(code, styles, stored=True), "found")
+    graph = graph_from(code, found, innermost)
+    graph.edges = cut(graph.edges, "edges")
+    return graph
+
+
+def graph_from(code: DataFrame, found: DataFrame, innermost: bool = False) -> CallGraph:
+    """The graph over code rows and definitions that are already there."""
     nodes = gr.build_nodes(found)
     calls = ex.find_calls(code, found.where(F.col("target_id") == "function"), innermost)
-    edges = gr.build_edges(gr.resolve_callees(calls, nodes))
-    return CallGraph(found, nodes, calls, cut(edges, "edges") if materialize else edges)
+    return CallGraph(found, nodes, calls, gr.build_edges(gr.resolve_callees(calls, nodes)))
 
 
 def most_called(graph: CallGraph) -> DataFrame:

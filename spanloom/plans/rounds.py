@@ -22,6 +22,7 @@ from ..operators import graph as gr
 from ..operators import lines as ln
 from ..operators import windows as wn
 from ..plans.callgraph import CallGraph
+from ..plans.lookup import join_lookup
 from ..schema import RECORD_CALL, RETRY_WITH, TARGETS, Target, found_action
 from ..session import cut
 from ..sources.answers import attach_responses
@@ -51,7 +52,7 @@ def _ask(prompts: DataFrame, answer: Answer, stage: str) -> tuple[DataFrame, Dat
     answered = attach_responses(prompts, log)
     if "time_secs" in log.columns:
         spent = log.groupBy("prompt_key").agg(F.sum("time_secs").alias("time_secs"))
-        timed = answered.join(spent, "prompt_key", "left")
+        timed = join_lookup(answered, spent, "prompt_key", "left")
     else:
         timed = answered.withColumn("time_secs", F.lit(0.0))
     usage = timed.select(
@@ -156,8 +157,8 @@ def extract_targets(
     """All targets of all files, children inside each parent found."""
     counts = cut(ln.line_counts(files), "counts")
     lines = cut(ln.split_lines(files), "lines")
-    scope = wn.plan_windows(counts).join(
-        counts.withColumnRenamed("n_lines", "scope_lines"), "path"
+    scope = join_lookup(
+        wn.plan_windows(counts), counts.withColumnRenamed("n_lines", "scope_lines"), "path"
     )
     return _merge(_level(scope, ("path",), targets, lines, counts, answer, max_rounds))
 

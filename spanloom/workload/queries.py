@@ -13,7 +13,7 @@ from ..operators import graph as gr
 from ..operators import lines as ln
 from ..operators import scoring as sc
 from ..operators import windows as wn
-from ..plans.callgraph import CallGraph, call_graph, most_called
+from ..plans.callgraph import CallGraph, graph_from, most_called
 from ..schema import CLASS, FUNCTION, RECORD_CALL, RETRY_WITH, found_action
 from ..session import cut, new_folder
 from ..sinks import graph as sk
@@ -27,8 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 CATALOG = [found_action(FUNCTION), RETRY_WITH, RECORD_CALL]
 
-_GRAPHS: dict[tuple[str, str], CallGraph] = {}
-_CODE: dict[tuple[str, str], DataFrame] = {}
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def query(fn: Query) -> Query:
@@ -38,38 +37,39 @@ def query(fn: Query) -> Query:
 
 def forget() -> None:
     """Drop the shared tables, so that the next query derives everything again."""
-    _GRAPHS.clear()
-    _CODE.clear()
+    _TABLES.clear()
 
 
-def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    return spark.sparkContext.applicationId, sf_dir
+def _shared(spark: SparkSession, sf_dir: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the derived corpus that several queries read, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, label)
+    if key not in _TABLES:
+        _TABLES[key] = cut(build(), label)
+    return _TABLES[key]
 
 
 def code_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code rows of the derived corpus, written once per application."""
-    key = _key(spark, sf_dir)
-    if key not in _CODE:
-        _CODE[key] = cut(ex.code_lines(corpus.code_files(spark, sf_dir)), "code")
-    return _CODE[key]
+    return _shared(spark, sf_dir, "code", lambda: ex.code_lines(corpus.code_files(spark, sf_dir)))
 
 
-def graph_of(spark: SparkSession, sf_dir: str) -> CallGraph:
+def found_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus has Python files only, so the brace branch is left out."""
-    key = _key(spark, sf_dir)
-    if key not in _GRAPHS:
-        _GRAPHS[key] = call_graph(
-            corpus.code_files(spark, sf_dir), styles=("indent",), code=code_of(spark, sf_dir)
-        )
-    return _GRAPHS[key]
+    code = code_of(spark, sf_dir)
+    return _shared(spark, sf_dir, "found", lambda: ex.span_ends(code, ("indent",), stored=True))
+
+
+def graph_of(spark: SparkSession, sf_dir: str) -> CallGraph:
+    graph = graph_from(code_of(spark, sf_dir), found_of(spark, sf_dir))
+    graph.edges = _shared(spark, sf_dir, "edges", lambda: graph.edges)
+    return graph
 
 
-def _functions(graph: CallGraph) -> DataFrame:
-    return graph.found.where(F.col("target_id") == "function")
+def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_of(spark, sf_dir).where(F.col("target_id") == "function")
 
 
-def _classes(graph: CallGraph) -> DataFrame:
-    return graph.found.where(F.col("target_id") == "class")
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_of(spark, sf_dir).where(F.col("target_id") == "class")
 
 
 @query
@@ -109,22 +109,22 @@ def find_classes(spark, sf_dir):
 
 @query
 def span_ends(spark, sf_dir):
-    return graph_of(spark, sf_dir).found.drop("parent_id")
+    return found_of(spark, sf_dir).drop("parent_id")
 
 
 @query
 def build_nodes(spark, sf_dir):
-    return graph_of(spark, sf_dir).nodes
+    return gr.build_nodes(found_of(spark, sf_dir))
 
 
 @query
 def find_calls(spark, sf_dir):
-    return graph_of(spark, sf_dir).calls
+    return ex.find_calls(code_of(spark, sf_dir), _functions(spark, sf_dir))
 
 
 @query
 def resolve_callees(spark, sf_dir):
-    graph = graph_of(spark, sf_dir)
+    graph = graph_from(code_of(spark, sf_dir), found_of(spark, sf_dir))
     return gr.resolve_callees(graph.calls, graph.nodes).select(
         "caller_id", "callee_name", "callee_id", "line_no"
     )
@@ -132,13 +132,13 @@ def resolve_callees(spark, sf_dir):
 
 @query
 def unresolved_calls(spark, sf_dir):
-    graph = graph_of(spark, sf_dir)
+    graph = graph_from(code_of(spark, sf_dir), found_of(spark, sf_dir))
     return gr.unresolved_calls(graph.calls, graph.nodes)
 
 
 @query
 def name_candidates(spark, sf_dir):
-    graph = graph_of(spark, sf_dir)
+    graph = graph_from(code_of(spark, sf_dir), found_of(spark, sf_dir))
     return gr.name_candidates(graph.calls, graph.nodes).drop("file")
 
 
@@ -163,13 +163,13 @@ def graph_summary(spark, sf_dir):
 
 @query
 def dot_ids(spark, sf_dir):
-    return gr.dot_ids(graph_of(spark, sf_dir).nodes)
+    return gr.dot_ids(gr.build_nodes(found_of(spark, sf_dir)))
 
 
 @query
 def dot_id_collisions(spark, sf_dir):
     """Half of the ids get a second one that differs in a mapped character only."""
-    nodes = graph_of(spark, sf_dir).nodes.select("node_id")
+    nodes = gr.build_nodes(found_of(spark, sf_dir)).select("node_id")
     twins = nodes.where(F.endswith("node_id", F.lit("1"))).select(
         F.replace("node_id", F.lit(".py:"), F.lit("-py:")).alias("node_id")
     )
@@ -184,29 +184,26 @@ def adjacency(spark, sf_dir):
 
 @query
 def nest_methods(spark, sf_dir):
-    graph = graph_of(spark, sf_dir)
-    return ex.nest(_classes(graph), _functions(graph)).drop("target_id")
+    return ex.nest(_classes(spark, sf_dir), _functions(spark, sf_dir)).drop("target_id")
 
 
 @query
 def nested_view(spark, sf_dir):
-    graph = graph_of(spark, sf_dir)
-    view = ex.nested_view(ex.nest(_classes(graph), _functions(graph)))
+    view = ex.nested_view(ex.nest(_classes(spark, sf_dir), _functions(spark, sf_dir)))
     names = F.array_join(F.transform("children", lambda x: x["name"]), " ")
     return view.select("path", "parent_id", "part", names.alias("children"))
 
 
 @query
 def exclude_claimed(spark, sf_dir):
-    graph = graph_of(spark, sf_dir)
-    return ex.exclude_claimed(_functions(graph), _classes(graph)).select(
+    return ex.exclude_claimed(_functions(spark, sf_dir), _classes(spark, sf_dir)).select(
         "path", "name", "start_line", "end_line"
     )
 
 
 @query
 def windows_within(spark, sf_dir):
-    parents = _classes(graph_of(spark, sf_dir)).select("path", "name", "start_line", "end_line")
+    parents = _classes(spark, sf_dir).select("path", "name", "start_line", "end_line")
     return wn.plan_windows_within(parents)
 
 
@@ -215,7 +212,7 @@ def subtract_claimed(spark, sf_dir):
     """Windows of the order and library files less the class ranges (one level per file)."""
     files = corpus.code_files(spark, sf_dir)
     windows = wn.plan_windows(ln.line_counts(files))
-    methods = _functions(graph_of(spark, sf_dir)).where(~F.startswith("name", F.lit("run_")))
+    methods = _functions(spark, sf_dir).where(~F.startswith("name", F.lit("run_")))
     return wn.subtract_claimed(windows, methods)
 
 
@@ -314,7 +311,7 @@ def build_prompts(spark, sf_dir):
 @query
 def build_body_prompts(spark, sf_dir):
     """One prompt per function of the code corpus, over its whole body."""
-    spans = _functions(graph_of(spark, sf_dir)).select(
+    spans = _functions(spark, sf_dir).select(
         ex.tx.node_id(F.col("path"), F.col("start_line"), F.col("name")).alias("request_id"),
         "path", F.col("start_line").alias("start"), F.col("end_line").alias("end"),
     )
