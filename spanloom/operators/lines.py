@@ -12,7 +12,9 @@ from ..plans.spans import join_spans
 
 SLICE_CELL = 32
 PART_LINES = 4096
+# Line number and text frame of an omission marker.
 NO_LINE = -1
+MARKER = ("[omitted lines: ", "]")
 
 
 def split_lines(files: DataFrame) -> DataFrame:
@@ -138,7 +140,7 @@ def collapse_omissions(sliced: DataFrame, requests: DataFrame) -> DataFrame:
         "path",
         (F.col("run_end") - F.col("start")).alias("pos"),
         F.lit(NO_LINE).alias("line_no"),
-        F.concat(F.lit("[omitted lines: "), span, F.lit("]")).alias("text"),
+        F.concat(F.lit(MARKER[0]), span, F.lit(MARKER[1])).alias("text"),
     )
     return kept.unionByName(markers)
 

@@ -41,6 +41,7 @@ class Target:
     children: tuple["Target", ...] = field(default=())
 
 
+# Target ids, action names and field names are part of the answer format.
 FUNCTION = Target("function", "function definition", "function_name")
 CLASS = Target("class", "class definition", "class_name", (FUNCTION,))
 TARGETS = (CLASS, FUNCTION)

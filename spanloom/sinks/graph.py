@@ -37,6 +37,7 @@ def _body(df: DataFrame, section: int, file: str, line: str, value: Column) -> D
     )
 
 
+# The texts in the two functions below are the output formats.
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Graphviz text as rows ``(section, file, line, value)``; these three order the text."""
     quoted = lambda c: F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
