@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .bpe import encoder_of, slices
-from .common import read_texts
+from .common import read_texts, spread
 
 #: Length of a sequence.
 WINDOW = 2048
@@ -106,7 +106,7 @@ class Grants:
 def pieces_of(queue: np.ndarray, begin: np.ndarray, n: np.ndarray, grants: Grants) -> tuple[np.ndarray, ...]:
     """Pieces of documents that lie at ``begin .. begin + n`` of their queue: row, start, length, place in the stream."""
     first, last = grants.rounds(queue, begin), grants.rounds(queue, begin + n - 1)
-    row, round_ = _spread(first, last - first + 1)
+    row, round_ = spread(first, last - first + 1)
     q = queue[row]
     granted = grants.up_to(q, round_)
     start = np.maximum(begin[row], granted)
@@ -116,18 +116,12 @@ def pieces_of(queue: np.ndarray, begin: np.ndarray, n: np.ndarray, grants: Grant
     row, start, end, place = row[some], start[some] - begin[row[some]], end[some] - begin[row[some]], place[some]
     # a piece ends where a window ends
     window = grants.window
-    piece, number = _spread(place // window, (place + end - start - 1) // window - place // window + 1)
+    piece, number = spread(place // window, (place + end - start - 1) // window - place // window + 1)
     low = np.maximum(place[piece], number * window)
     high = np.minimum(place[piece] + (end - start)[piece], (number + 1) * window)
     return row[piece], start[piece] + low - place[piece], high - low, low
 
 
-def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each index as often as its count says, and first, first + 1, ... for it."""
-    index = np.repeat(np.arange(len(first)), count)
-    return index, first[index] + np.arange(len(index)) - np.repeat(np.cumsum(count) - count, count)
-
-
 def pack(docs: DataFrame, path: str, mixture: dict[str, float] | None = None, source: str = "source", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue``.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, fingerprints, lm_scoring, near_dedup, packing, quality, secret_scan, suffix_dedup, warc
+from .common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -18,14 +20,55 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(fn: Query) -> Query:
-    REGISTRY[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    REGISTRY[fn.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with corpus-wide ownership (owner: source; repository: source and language)."""
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that occur elsewhere too."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail chances of every document, fitted on the ratings of ``labels``."""
+    return quality.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document and its number of links."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page's response record."""
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
 @query
 def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
@@ -56,3 +99,9 @@ FROM n
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query
+def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document by the weighted context tree, and the unigram base."""
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
