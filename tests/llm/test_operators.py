@@ -1,0 +1,445 @@
+"""Each operator against brute force on a table with nulls, ties, repeats, long texts and clashing names."""
+
+import hashlib
+import math
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from spanloom.llm import bpe, exact_dedup, fingerprints, lm_scoring, near_dedup, packing, quality, secret_scan, suffix_dedup, warc
+from spanloom.llm.queries import VOCABULARY
+
+from .helpers import by_id, empty, frame, sample
+
+ROWS = sample()
+
+
+def texts():
+    return [(i, t or "") for i, t, *_ in ROWS]
+
+
+def sha(raw):
+    return hashlib.sha256(raw if isinstance(raw, bytes) else raw.encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark).cache()
+
+
+def multiset(df, *columns):
+    return Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+def test_secret_scan_keeps_base_and_classifies(docs):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    want = Counter()
+    for i, t in texts():
+        found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        line = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+        want[i, *(sum(k == n for _, k, _ in found) for n in range(3)), sha(line)] += 1
+    out = secret_scan.scan_secrets(docs)
+    assert multiset(out, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == want
+    some = [r for r in out.collect() if r.n_assign]
+    assert all(r.n_live >= 1 and r.n_example >= 1 for r in some)  # own tokens; one access key for all owners
+
+
+def test_redaction_takes_live_values_only(docs, spark):
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    for r in out.filter("text like '%token%'").collect():
+        assert f'token = "{secret_scan.REDACTED}"' in r.text and "AKIAQ7Q7" in r.text and r.n_chars == len(r.text)
+    same = multiset(out.filter("text is null or text not like '%token%'"), "doc_id", "text")
+    assert same == multiset(docs.filter("text is null or text not like '%token%'"), "doc_id", "text")
+
+
+def repeats_by_hand(rows):
+    size, met = suffix_dedup.LENGTH, Counter()
+    raws = [(i, t.encode()) for i, t in rows]
+    for _, raw in raws:
+        met.update(raw[s : s + size] for s in range(len(raw) - size + 1))
+    out = Counter()
+    for i, raw in raws:
+        gone = np.zeros(len(raw) + 1, bool)
+        for s in range(len(raw) - size + 1):
+            if met[raw[s : s + size]] > 1:
+                gone[s : s + size] = True
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        out[i, len(raw), len(raw) - len(kept), int((gone[:-1] & ~gone[1:]).sum()), sha(kept)] += 1
+    return out
+
+
+@pytest.mark.parametrize("group", [2000, 2])
+def test_repeated_strings(docs, group, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    out = suffix_dedup.remove_repeats(docs)
+    want = repeats_by_hand(texts())
+    assert multiset(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert sum(k[2] for k in want) > 5000
+
+
+def test_pieces_of_long_texts_agree(monkeypatch):
+    raw = "".join(chr(97 + (i * i) % 23) for i in range(5000)).encode()
+    whole = suffix_dedup.blocks_of(raw)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    parts = suffix_dedup.blocks_of(raw)
+    starts = lambda b: sorted(s for a, n in zip(b[0], b[1]) for s in range(a, a + n))
+    assert starts(whole) == starts(parts) == list(range(5000 - suffix_dedup.LENGTH + 1))
+
+
+def test_quality_on_held_out_ratings(spark):
+    import random
+
+    rng, rows, labels = random.Random(3), [], []
+    for i in range(900):
+        words = [rng.choice("the of and with then other word page line time".split()) + str(rng.randrange(40)) for _ in range(40)]
+        kind = rng.randrange(3)
+        if kind == 0:
+            words = [w + "$$$" for w in words]
+        elif kind == 1:
+            words[rng.randrange(40)] = rng.choice(["scoundrel", "rascal"])
+        rows.append((i, " ".join(words), "en", "s", 1))
+        if i < 600:
+            labels.append((i, int(kind > 0), int(kind == 1)))
+    rows += [(None, None, None, None, None), (901, "", None, None, None)]
+    rated = spark.createDataFrame([*labels, (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    out = by_id(quality.grade_documents(frame(spark, rows), rated))
+    wrong = sum(out[i][0].kept != (not ("$$$" in t or "scoundrel" in t or "rascal" in t)) for i, t, *_ in rows[600:900])
+    assert wrong <= 6
+    for (r,) in out.values():
+        assert 0 <= r.p_clean <= r.p_good <= 1 and abs(r.expected_grade - r.p_clean - r.p_good) < 1e-9
+    kept = quality.grade_documents(frame(spark, rows), rated, carried=True)
+    assert kept.columns == frame(spark, rows).columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, (r,) in out.items() if r.kept}
+    assert all(r.kept for r in quality.grade_documents(frame(spark, rows), rated.limit(0)).collect())
+
+
+def test_thresholds_are_ordered():
+    rng = np.random.default_rng(0)
+    grades = rng.integers(0, 3, 300)
+    model = quality.fit([np.array([g, 10 + int(rng.integers(5))], np.int32) for g in grades], grades)
+    assert model.thresholds[0] < model.thresholds[1]
+    tails = model.tails(np.array([model.weights[[g]].sum() for g in range(3)]))
+    assert (np.diff(tails.sum(axis=1)) > 0.3).all()
+
+
+def near_by_hand(rows):
+    sets = []
+    for _, t in rows:
+        w = t.lower().encode().split()
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset([()]))
+    parent = list(range(len(rows)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(range(len(rows)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            parent[top(b)] = top(a)
+    classes = defaultdict(list)
+    for i in range(len(rows)):
+        classes[top(i)].append(rows[i][0])
+    return Counter((i, min((x for x in ids if x is not None), default=None), len(ids)) for ids in classes.values() for i in ids)
+
+
+def test_near_duplicates(docs):
+    out = near_dedup.near_duplicates(docs)
+    assert multiset(out, "doc_id", "class_id", "class_size") == near_by_hand(texts())
+    assert out.filter("kept").count() == out.select("class_id").distinct().count()
+    stay = near_dedup.keep_one(docs)
+    assert stay.columns == docs.columns and stay.count() == out.filter("kept").count()
+
+
+def test_chain_of_near_copies_is_one_class(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for step in range(30):  # neighbours are alike, the ends are not
+        rows.append((step, " ".join(words), "en", "s", 1))
+        words = words[:]
+        words[7 * step % 200 : 7 * step % 200 + 3] = [f"n{step}a", f"n{step}b", f"n{step}c"]
+    out = near_dedup.near_duplicates(frame(spark, rows))
+    assert {r.class_id for r in out.collect()} == {0}
+
+
+def test_alignment_needs_the_order():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 1 << 60, 400).astype(np.uint64)
+    assert near_dedup.similarity(words, words) == (1.0, 1.0)
+    moved = np.concatenate([words[200:], words[:200]])
+    jaccard, aligned = near_dedup.similarity(words, moved)
+    assert jaccard > 0.95 and aligned < 0.6
+
+
+def sketch_by_hand(text):
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    out = set()
+    for k in range(max(len(hashes) - 4, min(1, len(hashes)))):
+        h = 42
+        for x in hashes[k : k + 5]:
+            h = xxhash.xxh64_intdigest(struct.pack("<Q", x), h)
+        if (h + (1 << 63)) % (1 << 64) < (1 << 64) // fingerprints.SCALE:
+            out.add(h)
+    return out
+
+
+def alike(a, b, x, y):
+    return len(a & b) / len(a | b) if a | b else float(x.lower().split() == y.lower().split())
+
+
+def test_fingerprints(docs):
+    order = sorted(texts(), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    want = []
+    for (i, t), (_, following) in zip(order, order[1:] + order[:1]):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + following[:q]
+        a, b, c = map(sketch_by_hand, (t, edited, following))
+        want.append((i, len(t), sha(edited), round(alike(a, b, t, edited), 9), round(alike(a, c, t, following), 9)))
+    out = fingerprints.fingerprint_edits(docs).collect()
+    key = lambda r: (r[0] is not None, *r[:3]) if r[0] is not None else (False, 0, *r[1:3])
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in out]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    text_of = dict(texts())
+    prints = {text_of[r.doc_id]: r.fingerprint for r in out if r.doc_id != 7}
+    assert len(set(prints.values())) >= len({" ".join(t.lower().split()) for t in prints}) - 2
+
+
+def test_containment_and_union(spark):
+    long, short = "a b c d e f " + " ".join(f"w{i}" for i in range(900)), " ".join(f"w{i}" for i in range(300))
+    df = fingerprints.with_sketch(spark.createDataFrame([(1, long), (2, short)], "doc_id long, text string"), "text", "sketch")
+    a, b = (df.filter(f"doc_id = {i}").selectExpr(f"sketch as s{i}") for i in (1, 2))
+    from pyspark.sql import functions as F
+
+    assert a.crossJoin(b).select(fingerprints.containment(F.col("s2"), F.col("s1"))).first()[0] == 1.0
+    union = fingerprints.merged(df.selectExpr("1 as g", "sketch"), ["g"]).count()
+    assert union == df.filter("doc_id = 1").selectExpr("size(sketch)").first()[0]
+
+
+def test_warc_records_are_linked(spark, tmp_path):
+    page = '<html><head><title>A &amp; B</title><script>var x="<p>no</p>"</script></head><body><!-- c --><h1>One</h1><p>Two&nbsp;&lt;b&gt; <b>bold</b><a href="/x?a=1&amp;b=2">go</a></p></body></html>'
+    rows = [(1, "http://h.example/p", page), (1, "http://h.example/p", page), (2, None, None), (3, "u", "no tags < here"), (None, "http://[bad", '<a href="http://[x">z</a><b')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as status", "'x' as block")
+    source = {r.record_id: r for r in warc.responses(pages).collect()}
+    out = warc.derive(warc.responses(pages))
+    got = out.collect()
+    assert len(got) == 2 * len(rows)
+    for r in got:
+        origin = source[r.refers_to]
+        assert (r.target_uri, r.source_payload_digest) == (origin.target_uri, origin.payload_digest)
+        assert r.content_length == len(r.block.encode()) and r.block_digest == "sha256:" + sha(r.block)
+        assert "Content-Type: text/html" in r.source_headers
+    first = {r.record_type: r.block for r in got if r.page_id == 1}
+    assert first["conversion"] == "One\nTwo <b> boldgo"
+    assert "title: A & B\r\n" in first["metadata"] and "outlink: http://h.example/x?a=1&b=2\r\n" in first["metadata"]
+    warc.write_warc(out, str(tmp_path / "w"))
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
+    seen = 0
+    while raw:  # each record's own length leads to the next one
+        head, _, rest = raw.partition(b"\r\n\r\n")
+        size = int(re.search(rb"Content-Length: (\d+)", head)[1])
+        assert head.startswith(b"WARC/1.1\r\n") and rest[size : size + 4] == b"\r\n\r\n"
+        raw, seen = rest[size + 4 :], seen + 1
+    assert seen == len(got)
+
+
+def test_bpe_equals_the_library(docs):
+    library = Tokenizer.from_file(VOCABULARY)
+    want = Counter()
+    for i, t in texts():
+        ids = library.encode(t, add_special_tokens=False).ids
+        want[i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids, skip_special_tokens=False))] += 1
+    for n_words in (5, 1 << 17):
+        out = bpe.encode_decode(docs, VOCABULARY, n_words)
+        assert multiset(out, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
+def test_lexicon_is_exact_and_shares_states():
+    vocabulary = bpe.Vocabulary(VOCABULARY)
+    words = sorted({f" {a}{b}ing".encode() for a in "abcdefgh" for b in "xyz"} | {b"a", "é".encode()})
+    lexicon = bpe.Lexicon(bpe.Lexicon.compile([(w, vocabulary.merge(w)) for w in words]))
+    assert all(np.frombuffer(lexicon.find(w), "<u4").tolist() == vocabulary.merge(w) for w in words)
+    assert lexicon.find(b" axin") is None and lexicon.find(b"zz") is None
+    assert lexicon.states < 12 < sum(map(len, words))
+
+
+@pytest.mark.parametrize("text", ["a" * 3000, "͸x ²½\x85 \x1c", "don't  stop\n\n 12", "<|endoftext|>", " " * 500])
+def test_bpe_on_odd_texts(text):
+    encoder = bpe.Encoder(bpe.Vocabulary(VOCABULARY))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
+
+
+def test_exact_dedup(docs):
+    norm = [(i, sha(re.sub(r"[\x20\x09-\x0D]+", " ", t))) for i, t in texts()]
+    groups = defaultdict(list)
+    for i, d in norm:
+        groups[d].append(i)
+    least = {d: min((i for i in ids if i is not None), default=None) for d, ids in groups.items()}
+    out = exact_dedup.dedup_map(docs)
+    assert multiset(out, "doc_id", "keep_id", "group_size", "text_sha256") == Counter((i, least[d], len(groups[d]), d) for i, d in norm)
+    assert multiset(out.filter("kept"), "text_sha256") == Counter((d,) for d in groups)
+    stay = exact_dedup.keep_first(docs)
+    assert stay.columns == docs.columns
+    assert multiset(stay, "doc_id") == Counter((i,) for i in least.values())
+
+
+def test_cuckoo_index_inserts_deletes_and_grows():
+    index = exact_dedup.CuckooIndex(2)
+    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
+    for i, d in enumerate(digests):
+        assert index.get(d) is None
+        index.insert([d, i])
+    assert index.resizes > 5 and all(index.get(d)[1] == i for i, d in enumerate(digests))
+    assert all(index.delete(d) for d in digests[::2]) and not index.delete(digests[0])
+    assert [index.get(d) is None for d in digests] == [i % 2 == 0 for i in range(3000)]
+    assert index.size == 1500 == len(list(index))
+
+
+def test_live_index_follows_changes(spark):
+    old, new = frame(spark, [(1, "a  b", "", "", 1), (2, "a b", "", "", 1), (3, "c", "", "", 1)]), frame(spark, [(9, "d", "", "", 1), (0, "c", "", "", 1)])
+    gone = frame(spark, [(1, "a b", "", "", 1), (3, "c", "", "", 1), (8, "never", "", "", 1)])
+    out = exact_dedup.update_index(exact_dedup.live_index(old), new, gone)
+    want = {hashlib.sha256(t).digest(): (k, n) for t, k, n in ((b"a b", 1, 1), (b"d", 9, 1), (b"c", 0, 1))}
+    assert {bytes(r.digest): (r.keep_id, r.n) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("mixture", [None, {"s1": 3.0, "s2": 1.0}])
+def test_packing(docs, mixture):
+    library = Tokenizer.from_file(VOCABULARY)
+    ids = defaultdict(list)
+    for i, t in texts():
+        ids[i].append([*library.encode(t, add_special_tokens=False).ids, 1])
+    out = packing.pack(docs, VOCABULARY, mixture=mixture).collect()
+    windows, docs_of = defaultdict(list), defaultdict(list)
+    for r in out:
+        windows[r.sequence_id].append((r.offset, r.length))
+        docs_of[r.doc_id].append(r)
+        whole = [x for x in ids[r.doc_id] if len(x) == r.doc_tokens]
+        assert any(zlib.crc32(np.array(x[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for x in whole)
+    for number, parts in windows.items():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == 2048 or number == max(windows)
+    assert sorted(windows) == list(range(len(windows)))
+    for i, rows in docs_of.items():
+        covered = Counter(p for r in rows for p in range(r.start, r.start + r.length))
+        assert sum(covered.values()) == sum(map(len, ids[i]))
+
+
+def test_windows_keep_the_mixture():
+    totals, weights = [40_000, 20_000, 4_000], packing.weights_of([40, 20, 4])
+    grants = packing.Grants(totals, weights, 512)
+    queue = np.array([0, 0, 1, 2])
+    begin, n = np.array([0, 15_000, 0, 0]), np.array([15_000, 25_000, 20_000, 4_000])
+    row, _, length, place = packing.pieces_of(queue, begin, n, grants)
+    filled = np.zeros((3, 125))
+    np.add.at(filled, (queue[row], place // 512), length)
+    assert (filled.sum(axis=0) == 512).all()
+    assert (abs(filled[:, :120] - np.array([[320], [160], [32]])) <= 4).all()
+
+
+def test_lm_scores(docs):
+    tokens = [(i, t.encode().lower().split()) for i, t in texts()]
+    held = {i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i, _ in tokens}
+    counts, n_docs = Counter(), 0
+    for i, own in tokens:
+        if not held[i]:
+            counts.update(own)
+            n_docs += 1
+    total, distinct = sum(counts.values()) + n_docs, len(counts) + 1
+    value = lambda c: math.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+    want = sorted((str(i), held[i], len(own) + 1, sum(counts[w] > 0 for w in own) + 1, total, round(sum(value(counts[w]) for w in own) + value(n_docs), 6)) for i, own in tokens)
+    got = lm_scoring.score_documents(docs).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert all(r.score < 0 for r in got)
+
+
+def test_context_tree_is_the_weighted_mixture(monkeypatch):
+    """Against the recursion written out, with bits of the symbol as decisions."""
+    monkeypatch.setattr(lm_scoring, "DEPTH", 2)
+    bodies = [b"abracadabra", b"abra cad", b"", b"zz"]
+    data = [b"\xff\xff" + b + b"\xff" for b in bodies]
+    seen = defaultdict(Counter)
+    for b in data:
+        for at in range(2, len(b)):
+            for d in range(3):
+                seen[b[at - d : at]][b[at]] += 1
+    levels = []
+    for d in range(3):
+        contexts = sorted((c for c in seen if len(c) == d), key=lambda c: int.from_bytes(c, "big"))
+        counts = np.zeros((len(contexts), 256))
+        for k, c in enumerate(contexts):
+            counts[k, list(seen[c])] = list(seen[c].values())
+        levels.append((np.array([int.from_bytes(c, "big") for c in contexts], np.int64), counts))
+    tree = lm_scoring.grow(levels)
+
+    def bits(context, node):
+        level = node.bit_length() - 1
+        out = [0, 0]
+        for s, n in seen.get(context, {}).items():
+            if (s | 256) >> (8 - level) == node:
+                out[(s >> (7 - level)) & 1] += n
+        return out
+
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def weighted(context, node):
+        own = kt(*bits(context, node))
+        if len(context) == 2:
+            return own
+        below = sum(weighted(c, node) for c in seen if len(c) == len(context) + 1 and c.endswith(context))
+        return np.logaddexp(math.log(0.5) + own, math.log(0.5) + below)
+
+    def chance(context, node, history):
+        zero, one = bits(context, node)
+        own = (one + 0.5) / (zero + one + 1)
+        if len(context) == 2:
+            return own
+        longer = history[len(history) - len(context) - 1 :]
+        share = math.exp(math.log(0.5) + kt(zero, one) - weighted(context, node))
+        deeper = chance(longer, node, history) if longer in seen else 0.5
+        return share * own + (1 - share) * deeper
+
+    for body in (b"abra", b"cab\xc3", b""):
+        whole, want = b"\xff\xff" + body + b"\xff", 0.0
+        for at in range(2, len(whole)):
+            node = 1
+            for k in range(7, -1, -1):
+                bit = (whole[at] >> k) & 1
+                p = chance(b"", node, whole[:at])
+                want += math.log10(p if bit else 1 - p)
+                node = 2 * node + bit
+        assert abs(tree.score([body])[0] - want) < 1e-4
+    monkeypatch.setattr(lm_scoring, "SEGMENT", 5)
+    assert abs(tree._long(b"abracadabra zz") - tree._sums([b"abracadabra zz"])[0]) < 1e-6
+
+
+def test_log_gamma():
+    x = np.array([0.5, 1.0, 3.5, 120.25, 1e8])
+    assert np.allclose(lm_scoring.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        secret_scan.scan_secrets, secret_scan.redact, suffix_dedup.remove_repeats, near_dedup.near_duplicates, near_dedup.keep_one,
+        fingerprints.fingerprint_edits, exact_dedup.dedup_map, exact_dedup.keep_first, lm_scoring.score_documents,
+        lambda d: bpe.encode_decode(d, VOCABULARY), lambda d: packing.pack(d, VOCABULARY),
+        lambda d: quality.grade_documents(d, d.selectExpr("doc_id", "0 as quality", "0 as toxic")),
+        lambda d: warc.derive(warc.responses(d.selectExpr("doc_id as page_id", "text as url", "text as html"))),
+    ],
+)
+def test_empty_tables(spark, run):
+    assert run(empty(spark)).count() == 0
