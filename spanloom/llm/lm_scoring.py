@@ -8,7 +8,7 @@ predictions mix all depths by how well they did on the training documents.
 Counts are gathered over all training documents (byte strings of DEPTH + 1, with counts). A context
 has a node of its own if it holds at least one in SHARE of all training bytes; the rest of a node's
 contexts are one further child. A depth thus has at most SHARE contexts whatever the corpus, which
-bounds the model that is sent to the executors (about 40,000 leaves of 256 numbers, 40 MB, on prose).
+bounds the model that is sent to the executors (about 26,000 leaves of 256 numbers, 27 MB, on prose).
 
 What is scored is the string of a document's tokens in lower case (A-Z only), joined by one space,
 with an end symbol (0xFF, which UTF-8 has not); contexts before its start are 0xFF.
@@ -37,7 +37,7 @@ from .bpe import slices
 from .common import read_texts
 
 DEPTH = 5
-SHARE = 1 << 17
+SHARE = 1 << 16
 END = b"\xff"
 #: Frequent words whose scores every task has at hand; all others are joined.
 FREQUENT = 1 << 17
@@ -46,6 +46,8 @@ FLUSH = 400_000
 FLUSH_GRAMS = 2_000_000
 #: Bytes of a document that are scored at once.
 SEGMENT = 1 << 20
+#: Contexts of the tree that the driver works on at once.
+CHUNK = 1000
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -209,27 +211,32 @@ def grow(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
 
     ``levels[0]`` is the root: one context 0. A depth may be empty.
     """
-    depths = [d for d, (c, _) in enumerate(levels) if len(c)]
-    last = max(depths)
-    heaps = [bit_counts(levels[d][1]) for d in range(last + 1)]
-    parents, inner, weighted, rest_heap, mix = [None], [], [None] * (last + 1), [None] * (last + 1), [None] * (last + 1)
+    last = max(d for d, (c, _) in enumerate(levels) if len(c))
+    counts = [levels[d][1] for d in range(last + 1)]
+    parents: list = [None]
     for d in range(1, last + 1):
         parents.append(np.searchsorted(levels[d - 1][0], levels[d][0] & ((1 << 8 * (d - 1)) - 1)))
-    for d in range(last, -1, -1):
-        own = kt_log(heaps[d])
-        has = np.zeros(len(own), bool)
-        weighted[d] = own
+    inner, rest, mix, deeper = [], [None] * (last + 1), [None] * (last + 1), None
+    half = math.log(0.5)
+    for d in range(last, -1, -1):  # deeper: log of the children's weighted probabilities, by node
+        has = np.zeros(len(counts[d]), bool)
         if d < last:
             has[parents[d + 1]] = True
-            below, taken = np.zeros_like(own), np.zeros_like(heaps[d])
-            np.add.at(below, parents[d + 1], weighted[d + 1])
-            np.add.at(taken, parents[d + 1], heaps[d + 1])
-            rest_heap[d] = heaps[d] - taken
-            below += kt_log(rest_heap[d])
-            half = math.log(0.5)
-            both = np.logaddexp(half + own, half + below)
-            weighted[d] = np.where(has[:, None], both, own)
-            mix[d] = np.exp(half + own - both)
+            rest[d] = counts[d].copy()
+            np.subtract.at(rest[d], parents[d + 1], counts[d + 1])
+            mix[d] = np.zeros((len(has), 256), np.float32)
+        up = np.zeros((len(counts[d - 1]), 256)) if d else None
+        for at in range(0, len(has), CHUNK):
+            part = slice(at, at + CHUNK)
+            weighted = own = kt_log(bit_counts(counts[d][part]))
+            if d < last:
+                below = deeper[part] + kt_log(bit_counts(rest[d][part]))
+                both = np.logaddexp(half + own, half + below)
+                weighted = np.where(has[part, None], both, own)
+                mix[d][part] = np.exp(half + own - both)
+            if d:
+                np.add.at(up, parents[d][part], weighted)
+        deeper = up
         inner.append(has)
     inner.reverse()
 
@@ -247,27 +254,28 @@ def grow(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
     child = np.zeros((n_inner, 256), np.int32)
     log10p = np.zeros((count - n_inner, 256), np.float32)
 
-    def settle(d: int, which: np.ndarray, numbers_: np.ndarray, leaf: np.ndarray) -> None:
+    def settle(d: int, which: np.ndarray, numbers_: np.ndarray, leaf: list) -> None:
         """Mix a leaf's bits with those of the nodes above it."""
-        for at in range(0, len(which), 2000):
-            node, p, depth = which[at : at + 2000], leaf[at : at + 2000], d
+        for at in range(0, len(which), CHUNK):
+            node, depth = which[at : at + CHUNK], d
+            p = kt_next(bit_counts(leaf[d][node]))
             while depth >= 0:
                 if mix[depth] is not None and inner[depth][node].all():
                     w = mix[depth][node]
-                    p = w * kt_next(heaps[depth][node]) + (1 - w) * p
+                    p = w * kt_next(bit_counts(counts[depth][node])) + (1 - w) * p
                 node, depth = (parents[depth][node] if depth else node), depth - 1
             logs = np.zeros((len(p), 512))
             for i in range(1, 256):
                 logs[:, 2 * i] = logs[:, i] + np.log10(1 - p[:, i])
                 logs[:, 2 * i + 1] = logs[:, i] + np.log10(p[:, i])
-            log10p[numbers_[at : at + 2000] - n_inner] = logs[:, 256:]
+            log10p[numbers_[at : at + CHUNK] - n_inner] = logs[:, 256:]
 
     for d, has in enumerate(inner):
         leaves, nodes = np.flatnonzero(~has), np.flatnonzero(has)
         if len(leaves):
-            settle(d, leaves, numbers[d][leaves], kt_next(heaps[d][leaves]))
+            settle(d, leaves, numbers[d][leaves], counts)
         if len(nodes):
-            settle(d, nodes, rest_number[d][nodes], kt_next(rest_heap[d][nodes]))
+            settle(d, nodes, rest_number[d][nodes], rest)
             child[numbers[d][nodes]] = rest_number[d][nodes][:, None]
             older = (levels[d + 1][0] >> (8 * d)) & 255
             child[numbers[d][parents[d + 1]], older] = numbers[d + 1]
@@ -284,12 +292,15 @@ def train(grams: DataFrame, share: int = SHARE) -> ContextTree:
         context = F.shiftright("gram", 8).bitwiseAND((1 << 8 * d) - 1)
         sums = grams.groupBy(context.alias("context"), F.col("gram").bitwiseAND(255).alias("symbol")).agg(F.sum("n").alias("n"))
         per = sums.groupBy("context").agg(F.sum("n").alias("of"), F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("by"))
-        kept = per.filter(F.col("of") * share >= total).select("context", "by").collect() if total else []
-        contexts = np.array(sorted(r.context for r in kept), np.int64)
+        kept = per.filter(F.col("of") * share >= total).select("context", F.map_keys("by").alias("s"), F.map_values("by").alias("n")).toArrow().combine_chunks()
+        found = kept.column("context").to_numpy()
+        contexts = np.sort(found)
         counts = np.zeros((len(contexts), 256))
-        for r in kept:
-            row = counts[np.searchsorted(contexts, r.context)]
-            row[list(r.by)] = list(r.by.values())
+        if len(contexts):
+            sizes = kept.column("s").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+            at = np.repeat(np.searchsorted(contexts, found), sizes)
+            symbols, n = (kept.column(c).combine_chunks().flatten().to_numpy() for c in ("s", "n"))
+            counts[at, symbols] = n
         if d == 0 and not len(contexts):
             contexts, counts = np.zeros(1, np.int64), np.zeros((1, 256))
         levels.append((contexts, counts))
@@ -303,7 +314,9 @@ def score_documents(docs: DataFrame, share: int = SHARE) -> DataFrame:
     n_train, distinct = (summed.n or 0) + n_docs, summed.v + (n_docs > 0)
     floor = n_train + 0.1 * (distinct + 1)
     value = lambda n: math.log10((n + 0.1) / floor)
-    top = {bytes(r.word): value(r.n) for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
+    frequent = words.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    top = dict(zip(frequent.column("word").to_pylist(), map(value, frequent.column("n").to_pylist())))
+    del frequent
     end_value, end_known = value(n_docs), int(n_docs > 0)
     context = docs.sparkSession.sparkContext
     model = context.broadcast((train(grams, share), top))
