@@ -131,14 +131,20 @@ def depth_change(braces: Column) -> Column:
 def depth_dip(braces: Column) -> Column:
     """Lowest depth reached in the line, relative to its start; never above 0.
 
-    Pairs are taken out from the inside; the ``}`` left in front are the blocks closed. Pairs
-    nested deeper than the four steps are covered by the total change of the line.
+    Pairs are taken out from the inside; the ``}`` left in front are the blocks closed. Where four
+    steps leave pairs, the rest is folded sign by sign.
     """
     rest = braces
     for _ in range(4):
         rest = F.replace(rest, F.lit("{}"), F.lit(""))
     closed = F.octet_length(rest) - F.octet_length(F.ltrim(rest, F.lit("}")))
-    return F.least(-closed, depth_change(braces), F.lit(0))
+
+    def step(at: Column, sign: Column) -> Column:
+        depth = at["depth"] + F.when(sign == "{", 1).when(sign == "}", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.least(at["low"], depth).alias("low"))
+
+    folded = F.aggregate(F.split(rest, ""), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low")), step)
+    return F.when(F.contains(rest, F.lit("{}")), folded["low"]).otherwise(-closed)
 
 
 def first_mark(bare: Column) -> Column:

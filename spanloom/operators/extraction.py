@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import languages as lang
@@ -316,14 +316,14 @@ def nest(parents: DataFrame, children: DataFrame) -> DataFrame:
     )
 
 
-def nested_view(found: DataFrame, part_lines: int = 4096) -> DataFrame:
+def nested_view(found: DataFrame, part_children: int = 4096) -> DataFrame:
     """Children per parent as arrays: ``(path, parent_id, part, children)``.
 
-    A parent's children are cut by start line, so one array never covers more than
-    ``part_lines`` lines of a file.
+    An array holds at most ``part_children`` children; longer lists go on in further parts.
     """
+    order = Window.partitionBy("path", "parent_id").orderBy("start_line", "end_line", "target_id", "name")
     rows = found.where(F.col("parent_id").isNotNull()).withColumn(
-        "part", F.floor(F.col("start_line") / F.lit(part_lines)).cast("int")
+        "part", F.floor((F.row_number().over(order) - 1) / F.lit(part_children)).cast("int")
     )
     child = F.struct("start_line", "end_line", "target_id", "name")
     return rows.groupBy("path", "parent_id", "part").agg(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..plans.lookup import join_lookup
 
-LIST_LINES = 4096
+LIST_CALLS = 4096
 
 
 def build_nodes(found: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def build_nodes(found: DataFrame) -> DataFrame:
     return found.where(F.col("target_id") == "function").select(
         tx.node_id(F.col("path"), F.col("start_line"), F.col("name")).alias("node_id"),
         "name",
-        F.col("path").alias("file"),
+        (F.coalesce("file", "path") if "file" in found.columns else F.col("path")).alias("file"),
         F.col("start_line").alias("line_start"),
         F.col("end_line").alias("line_end"),
     )
@@ -106,16 +106,16 @@ def dot_id_collisions(nodes: DataFrame) -> DataFrame:
     return ids.count().agg(F.count_if(F.col("count") > 1).alias("n_collisions"))
 
 
-def adjacency(edges: DataFrame, list_lines: int = LIST_LINES) -> DataFrame:
+def adjacency(edges: DataFrame, list_calls: int = LIST_CALLS) -> DataFrame:
     """Callees per caller in call order: ``(caller_id, part, callees)``.
 
-    A list covers at most ``list_lines`` lines of the caller's file; longer callers go on in
-    further parts.
+    A list holds at most ``list_calls`` calls; longer ones go on in further parts.
     """
-    call = F.struct("line_start", "callee_id")
+    order = Window.partitionBy("caller_id").orderBy("line_start", "callee_id")
+    call = F.struct("place", "callee_id")
     listed = F.transform(F.array_sort(F.collect_list(call)), lambda x: x["callee_id"])
     return (
-        edges.withColumn("part", F.floor(F.col("line_start") / F.lit(list_lines)).cast("int"))
-        .groupBy("caller_id", "part")
+        edges.withColumn("place", F.row_number().over(order))
+        .groupBy("caller_id", F.floor((F.col("place") - 1) / F.lit(list_calls)).cast("int").alias("part"))
         .agg(listed.alias("callees"))
     )

@@ -61,7 +61,10 @@ def _ask(prompts: DataFrame, answer: Answer, stage: str) -> tuple[DataFrame, Dat
         an.estimated_tokens(F.col("prompt")).alias("in_tokens"),
         an.estimated_tokens(F.col("raw")).alias("out_tokens"),
         "time_secs",
+        "prompt_key",
     )
+    # a question that several requests share was asked, and is counted, once
+    usage = usage.dropDuplicates(["prompt_key"]).drop("prompt_key")
     return answered.select("request_id", "raw"), usage
 
 

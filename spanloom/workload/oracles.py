@@ -244,8 +244,10 @@ ORACLES: dict[str, str] = {
     ),
     "dot_id_collisions": _code(f"SELECT count(*) AS n_collisions FROM fn WHERE {_NODE} LIKE '%1'"),
     "adjacency": _code(
-        """SELECT caller_id, (line // 4096)::INTEGER AS part, string_agg(callee_id, ' ' ORDER BY line, callee_id) AS callees
-        FROM edge GROUP BY 1, 2"""
+        """SELECT caller_id, part, string_agg(callee_id, ' ' ORDER BY line, callee_id) AS callees FROM (
+            SELECT caller_id, line, callee_id,
+            ((row_number() OVER (PARTITION BY caller_id ORDER BY line, callee_id) - 1) // 4096)::INTEGER AS part FROM edge
+        ) GROUP BY 1, 2"""
     ),
     "nest_methods": _code(
         """SELECT path, 'step_' || j AS name, (4 * j - 2)::INTEGER AS start_line, (4 * j)::INTEGER AS end_line,

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.functions import languages as lang
 from spanloom.operators import extraction as ex
 from spanloom.operators import graph as gr
 from spanloom.operators import lines as ln
@@ -29,26 +30,26 @@ def main():
 if __name__ == "__main__":
     main()
 '''
-CLASSES = '''def foo():
-    bar()
-
-def bar():
-    # one
-    # two
-    # three
-    pass
-
-class MyClass:
-    def method1(self):
-        # a comment
-        pass
-        
-    def method2(self):
-        # another one
-        a = 1
-        b = 3
-        c = a + b
-        pass
+CLASSES = '''import sys
+
+
+def total(prices):
+    return sum(prices)
+
+
+def report(prices, out=sys.stdout):
+    print(total(prices), file=out)
+    return out
+
+
+class Basket:
+    size = 0
+
+    def add(self, price):
+        self.size += 1
+        self.last = price
+
+    def clear(self): self.size = 0
 '''
 RUST_PAIR = "fn foo() {\n    bar();\n}\nfn bar() {\n}  \n"
 
@@ -92,17 +93,17 @@ def test_class_sample(spark):
     code = ex.code_lines(files(spark, ("/example.py", CLASSES)))
     found = ex.span_ends(code)
     assert spans(found) == [
-        ("class", "MyClass", 10, 20), ("function", "bar", 4, 8), ("function", "foo", 1, 2),
-        ("function", "method1", 11, 13), ("function", "method2", 15, 20),
+        ("class", "Basket", 13, 20), ("function", "add", 16, 18), ("function", "clear", 20, 20),
+        ("function", "report", 8, 10), ("function", "total", 4, 5),
     ]
     functions, classes = found.where("target_id = 'function'"), found.where("target_id = 'class'")
-    assert spans(ex.exclude_claimed(functions, classes)) == [("function", "bar", 4, 8), ("function", "foo", 1, 2)]
+    assert spans(ex.exclude_claimed(functions, classes)) == [("function", "report", 8, 10), ("function", "total", 4, 5)]
     nested = ex.nest(classes, functions)
     assert {(r.name, r.parent_id) for r in nested.collect()} == {
-        ("method1", "/example.py:10:MyClass"), ("method2", "/example.py:10:MyClass"),
+        ("add", "/example.py:13:Basket"), ("clear", "/example.py:13:Basket"),
     }
     view = ex.nested_view(nested).collect()
-    assert [c.name for c in view[0].children] == ["method1", "method2"]
+    assert [c.name for c in view[0].children] == ["add", "clear"]
 
 
 PY_HARD = '''@deco
@@ -285,3 +286,28 @@ def test_map_fields_falls_back_to_the_path(spark):
     )
     rows = {r.name: r["loc"] for r in ex.map_fields(found, ex.as_node_fields).collect()}
     assert (rows["f"].file, rows["g"].file) == ("p.py", "q.py")
+
+
+def test_short_lists_are_one_row(spark):
+    """Wherever the calls lie in the file."""
+    calls = spark.createDataFrame([("f", "g", 4095), ("f", "h", 4096), ("k", "g", 1)], "caller_id STRING, callee_id STRING, line_start INT")
+    rows = {(r.caller_id, r.part): list(r.callees) for r in gr.adjacency(calls).collect()}
+    assert rows == {("f", 0): ["g", "h"], ("k", 0): ["g"]}
+    assert len(gr.adjacency(calls, 1).collect()) == 3
+    found = spark.createDataFrame(
+        [("p", "function", "a", 4095, 4095, "c"), ("p", "function", "b", 4097, 4098, "c")],
+        "path STRING, target_id STRING, name STRING, start_line INT, end_line INT, parent_id STRING",
+    )
+    assert [[c.name for c in r.children] for r in ex.nested_view(found).collect()] == [["a", "b"]]
+
+
+def test_dip_is_exact_at_any_depth(spark):
+    rng = random.Random(5)
+    lines = ["{{{{{}}}}}}}{{", "", "}{", "{" * 40 + "}" * 41, *("".join(rng.choice("{}") for _ in range(rng.randrange(30))) for _ in range(200))]
+    rows = spark.createDataFrame([(x,) for x in lines], "b STRING").select("b", lang.depth_dip(F.col("b")).alias("dip")).collect()
+    for r in rows:
+        depth = low = 0
+        for c in r.b:
+            depth += 1 if c == "{" else -1
+            low = min(low, depth)
+        assert r.dip == low, r.b

@@ -46,9 +46,9 @@ def files(spark, *pairs):
 def test_class_sample(spark):
     got = extract_targets(files(spark, ("/example.py", CLASSES)), asking(model))
     rows = sorted((r.target_id, r.name, r.start_line, r.end_line, r.parent_id) for r in got.found.collect() if r.parent_id is None)
-    assert rows == [("class", "MyClass", 10, 20, None), ("function", "bar", 4, 8, None), ("function", "foo", 1, 2, None)]
+    assert rows == [("class", "Basket", 13, 20, None), ("function", "report", 8, 10, None), ("function", "total", 4, 5, None)]
     inner = sorted((r.name, r.parent_id) for r in got.found.where("parent_id is not null").collect())
-    assert inner == [("method1", "/example.py:10:MyClass"), ("method2", "/example.py:10:MyClass")]
+    assert inner == [("add", "/example.py:13:Basket"), ("clear", "/example.py:13:Basket")]
     assert got.open_requests is None and got.quarantine.count() == 0
     stages = {r.stage for r in got.usage.select("stage").distinct().collect()}
     assert stages == {"find_class", "find_function"}
