@@ -39,7 +39,7 @@ _ODD = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 _LIBRARY = ByteLevel(add_prefix_space=False)
 
 #: Words that a worker keeps in its dictionary.
-HELD_WORDS = 400_000
+HELD_WORDS = 1_000_000
 #: Words of the lexicon; bounds the compiled automaton.
 LEXICON_WORDS = 1 << 17
 #: Distinct words that a counting task holds before it hands them on.
