@@ -1,7 +1,8 @@
 """Line rules per language: what starts a definition, what is a call, how blocks nest.
 
-The rules look at one line at a time. They are a stated approximation of the languages;
-recorded answers or a caller's batch function give the same tables with other quality.
+Comments and string literals are taken out of the whole text first (``bare_text``); the rules then
+look at one line at a time. They are a stated approximation of the languages; recorded answers or
+a caller's batch function give the same tables with other quality.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import SINGLE_BREAKS
+
 # File suffix -> block style.
 STYLES = {"py": "indent", "c": "brace", "cpp": "brace", "go": "brace", "rs": "brace"}
 
@@ -24,22 +27,47 @@ KEYWORDS = {
     "rs": "as async await dyn else fn for if impl in let loop match move mut pub ref return "
     "self super unsafe use where while",
 }
-_NAME = r"([A-Za-z_]\w*)"
-CALL = r"([A-Za-z_]\w*)\s*\("
+# Names in any script; the possessive end is the closing boundary.
+_FIRST = r"[\p{L}\p{Nl}_]"
+_PART = r"[\p{L}\p{N}\p{M}_]"
+_NAME = rf"({_FIRST}{_PART}*+)"
+_TYPE = r"[\p{L}\p{N}\p{M}_:<>,&*\s]*"
+# Type parameters, nested up to three deep; ``->`` closes nothing.
+_GENERIC = "<(?:->|[^<>]|<(?:->|[^<>]|<(?:->|[^<>])*+>)*+>)*+>"
+_BODY = r"\s*\([^;{]*(?:\{.*)?$"
+
+# A Python literal over several lines leaves this in front of its last line, which goes on with the statement.
+CARRIED = "\x01"
 
 
 def _no_word(suffix: str) -> str:
     """Look-ahead that refuses the keywords of a language."""
-    return rf"(?!(?:{'|'.join(KEYWORDS[suffix].split())})\b)"
+    return rf"(?!(?:{'|'.join(KEYWORDS[suffix].split())})(?!{_PART}))"
 
 
 def _c_function(suffix: str) -> str:
     """Return type, name and bracket; a statement such as ``else if (x) {`` is refused."""
     stop = _no_word(suffix)
-    return (
-        rf"^\s*{stop}(?:[A-Za-z_][\w:<>,&*\s]*[\s*&])(?:[A-Za-z_]\w*::)*~?{stop}{_NAME}"
-        r"\s*\([^;{]*(?:\{.*)?$"
-    )
+    return rf"^\s*{stop}(?:{_FIRST}{_TYPE}[\s*&])(?:{_FIRST}{_PART}*+::)*~?{stop}{_NAME}{_BODY}"
+
+
+def _cpp_function() -> str:
+    """As in C, and without a return type: qualified, or with a body on the same line.
+
+    In the last form a name all in capitals is a macro, and square brackets belong to a lambda.
+    """
+    stop = _no_word("cpp")
+    typed = rf"{_FIRST}{_TYPE}[\s*&](?:{_FIRST}{_PART}*+::)*~?(?={_FIRST}{_PART}*+{_BODY})"
+    qualified = rf"(?:{_FIRST}{_PART}*+(?:{_GENERIC})?::)+~?(?={_FIRST}{_PART}*+\s*\([^;{{\[]*(?:\{{.*)?$)"
+    member = rf"~?(?!\p{{Lu}}[\p{{Lu}}\p{{N}}_]+\s*\()(?={_FIRST}{_PART}*+\s*\([^;{{\[]*\)[^;{{\[]*\{{.*$)"
+    return rf"^\s*(?:template\s*{_GENERIC}\s*)?{stop}(?:{typed}|{qualified}|{member}){stop}{_NAME}"
+
+
+def _call(suffix: str) -> str:
+    """Name and bracket; between them, in C++ and Rust, type arguments."""
+    arguments = r"<(?![^()]*&&)[\p{L}\p{N}\p{M}_\s,:*&<>\[\];']*>"
+    between = {"cpp": f"(?:{arguments})?", "rs": f"(?:::{arguments})?"}.get(suffix, "")
+    return rf"(?<!{_PART}){_no_word(suffix)}{_NAME}{between}\s*\("
 
 
 # Suffix -> pattern of a line that starts a function, name in group 1.
@@ -49,19 +77,60 @@ FUNCTION_RULES = {
     + _NAME,
     "go": r"^\s*func\s+(?:\([^)]*\)\s*)?" + _NAME + r"\s*[(\[]",
     "c": _c_function("c"),
-    "cpp": _c_function("cpp"),
+    "cpp": _cpp_function(),
 }
 # Suffix -> pattern of a line that starts a class-like definition.
 CLASS_RULES = {
     "py": r"^\s*class\s+" + _NAME,
-    "rs": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?(?:struct|enum|union|trait|impl(?:<[^>]*>)?(?:\s+[\w:<>,' ]+\s+for)?)\s+"
+    "rs": rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?(?:struct|enum|union|trait|impl(?:{_GENERIC})?(?:\s+[^{{;]+\s+for)?)\s+"
     + _NAME,
     "go": r"^\s*type\s+" + _NAME + r"(?:\[[^\]]*\])?\s+(?:struct|interface)\b",
     "c": r"^\s*(?:typedef\s+)?(?:struct|union|enum)\s+" + _NAME + r"\s*(?:\{.*)?$",
-    "cpp": r"^\s*(?:template\s*<[^>]*>\s*)?(?:class|struct|union|enum)\s+" + _NAME + r"[^;()]*(?:\{.*)?$",
+    "cpp": rf"^\s*(?:template\s*{_GENERIC}\s*)?(?:class|struct|union|enum)\s+" + _NAME + r"[^;()]*(?:\{.*)?$",
 }
 # Suffix -> pattern of a call, name in group 1, keywords refused.
-CALL_RULES = {suffix: rf"\b{_no_word(suffix)}{CALL}" for suffix in KEYWORDS}
+CALL_RULES = {suffix: _call(suffix) for suffix in KEYWORDS}
+# C and C++: a line that is only a type, and a line that starts with the name the type belongs to.
+TYPE_LINE = rf"^{_FIRST}{_TYPE}$"
+NAME_LINE = rf"^(?:{_FIRST}{_PART}*+::)*~?{_FIRST}{_PART}*+\s*\("
+
+
+def _quoted(mark: str, lines: bool = False) -> str:
+    """A literal with backslash escapes; ``lines`` lets it run over line ends, or to the end of the text."""
+    stop, end = ("", rf"(?:{mark}|\z)") if lines else (r"\n\r", mark)
+    return rf"{mark}(?:[^{mark}\\{stop}]++|\\(?:\r\n|[\s\S]))*+{end}"
+
+
+def _tripled(mark: str) -> str:
+    return rf"{mark * 3}(?:[^{mark}\\]++|\\[\s\S]|{mark}(?!{mark * 2}))*+(?:{mark * 3}|\z)"
+
+
+def _nested_comment(depth: int = 8) -> str:
+    """Block comments inside block comments; one nested deeper ends at its first end mark."""
+    plain = r"[^*/]++|\*(?!/)|/(?!\*)"
+    body = plain
+    for _ in range(depth):
+        body = rf"{plain}|/\*(?:{body})*+\*/"
+    return rf"/\*(?:{body})*+\*/"
+
+
+_BLOCK = r"/\*[\s\S]*?(?:\*/|\z)"
+_LINE = r"//[^\n\r]*+"
+_LONG_LINE = r"//(?:[^\n\r\\]++|\\(?:\r\n|[\s\S]))*+"
+_C_CHAR = r"(?:(?<=u8)|(?<![0-9a-fA-F]))" + _quoted("'")
+_CHAR = r"'(?:[^'\\\n\r]|\\[^\n\r]{1,10}?)'"
+_CPP_RAW = rf'(?:(?<=u8|[uUL])|(?<!{_PART}))R"([^()\\\s]{{0,16}})\([\s\S]*?(?:\)\1"|\z)'
+_RS_RAW = rf'(?:(?<=[bc])|(?<!{_PART}))r(#*)"[\s\S]*?(?:"\1|\z)'
+# Suffix -> pattern of the next comment, literal or plain run; the matches make up the whole text.
+LEXEMES = {
+    "py": "|".join([_tripled("'"), _tripled('"'), _quoted("'"), _quoted('"'), r"#[^\n\r]*+", "[^'\"#]++", r"[\s\S]"]),
+    "c": "|".join([_BLOCK, _LONG_LINE, _quoted('"'), _C_CHAR, "[^/\"']++", r"[\s\S]"]),
+    "cpp": "|".join([_BLOCK, _LONG_LINE, _CPP_RAW, _quoted('"'), _C_CHAR, "(?:[^/\"'R]++|R(?!\"))++", r"[\s\S]"]),
+    "go": "|".join([_BLOCK, _LINE, r"`[^`]*+(?:`|\z)", _quoted('"'), _CHAR, "[^/\"'`]++", r"[\s\S]"]),
+    "rs": "|".join(
+        [_nested_comment(), _BLOCK, _LINE, _RS_RAW, _quoted('"', True), _CHAR, "(?:[^/\"'r]++|r(?!#*\"))++", r"[\s\S]"]
+    ),
+}
 
 
 def by_suffix(suffix: Column, table: dict, build) -> Column:
@@ -81,21 +150,29 @@ def block_style(suffix: Column) -> Column:
     return by_suffix(suffix, STYLES, F.lit)
 
 
-def without_strings(text: Column) -> Column:
-    """The line with its string literals emptied."""
-    return F.when(
-        F.instr(text, '"') + F.instr(text, "'") > 0,
-        F.regexp_replace(
-            text,
-            r"""("(?:[^"\\]|\\.)*")|('(?:[^'\\]|\\.)')|(?<=[(,=\[\s])('(?:[^'\\]|\\.)*')""",
-            '""',
-        ),
-    ).otherwise(text)
+def bare_text(text: Column, suffix: Column) -> Column:
+    """The text with a blank for each comment and ``""`` for each literal; all line breaks stay.
+
+    The text is cut into comments, literals and plain runs from its start on, so a mark inside
+    another literal or comment starts nothing. Texts without any such mark are passed on as they are.
+    """
+    pieces = F.regexp_extract_all(text, by_suffix(suffix, LEXEMES, F.lit), F.lit(0))
 
+    def shown(piece: Column) -> Column:
+        comment = F.when(suffix == "py", F.startswith(piece, F.lit("#"))).otherwise(
+            F.startswith(piece, F.lit("//")) | F.startswith(piece, F.lit("/*"))
+        )
+        literal = (F.length(piece) > 1) & piece.rlike(r"""^(?:["'`]|R"|r#*")""")
+        breaks = F.regexp_replace(piece, f"[^{SINGLE_BREAKS}]+", "")
+        carried = F.when((suffix == "py") & (breaks != ""), CARRIED).otherwise("")
+        return (
+            F.when(comment, F.concat(F.lit(" "), breaks))
+            .when(literal, F.concat(F.lit('""'), breaks, carried))
+            .otherwise(piece)
+        )
 
-def comment_at(text: Column, suffix: Column) -> Column:
-    """Position of the rest-of-line comment, 0 when there is none."""
-    return F.when(suffix == "py", F.instr(text, "#")).otherwise(F.instr(text, "//"))
+    marked = text.rlike(r"""["'`#]|//|/\*""")
+    return F.when(marked, F.array_join(F.transform(pieces, shown), "")).otherwise(text)
 
 
 def rule_for(suffix: Column, rules: dict) -> Column:
@@ -148,6 +225,19 @@ def depth_dip(braces: Column) -> Column:
 
 
 def first_mark(bare: Column) -> Column:
-    """``{`` or ``;``, whichever comes first outside brackets; NULL when the line has neither."""
-    flat = F.regexp_replace(F.regexp_replace(bare, r"\[[^\]]*\]", ""), r"\([^()]*\)", "")
-    return F.when(bare.rlike("[{;]"), F.nullif(F.regexp_extract(flat, "[{;]", 0), F.lit("")))
+    """``{`` or ``;``, whichever comes first outside brackets; NULL when the line has neither.
+
+    One level of brackets is taken out by pattern; where brackets are left, signs are folded by depth.
+    """
+    flat = F.regexp_replace(F.regexp_replace(bare, r"\[[^\[\]]*\]", ""), r"\([^()]*\)", "")
+    none = F.lit(None).cast("string")
+
+    def step(at: Column, sign: Column) -> Column:
+        depth = at["depth"] + F.when(sign.isin("(", "["), 1).when(sign.isin(")", "]"), -1).otherwise(0)
+        seen = F.when((at["depth"] == 0) & sign.isin("{", ";"), sign)
+        return F.struct(F.greatest(depth, F.lit(0)).alias("depth"), F.coalesce(at["mark"], seen).alias("mark"))
+
+    signs = F.split(F.regexp_replace(flat, r"[^\[\](){;]+", ""), "")
+    folded = F.aggregate(signs, F.struct(F.lit(0).alias("depth"), none.alias("mark")), step)["mark"]
+    plain = F.nullif(F.regexp_extract(flat, "[{;]", 0), F.lit(""))
+    return F.when(bare.rlike("[{;]"), F.when(flat.rlike(r"[\[\]()]"), folded).otherwise(plain))

@@ -3,7 +3,7 @@
 ``code_lines`` turns files into one slim row per non-blank line with everything the later steps
 need (indent, neighbours, definition, calls, braces) and without the text. The step is map-only:
 neighbours are read from the file's own line array. ``code_lines_of`` gives the same rows for a
-bare ``lines`` table.
+bare ``lines`` table, except that a comment or literal there ends with its line.
 """
 
 from __future__ import annotations
@@ -20,12 +20,15 @@ from ..plans.ordered import following, following_by_size, preceding, running_sum
 from ..plans.spans import join_spans
 
 # A line that starts with one of these continues the statement above it.
-_CLOSERS = ")]}"
+_CLOSERS = ")]}" + lang.CARRIED
 
 
 def code_lines(files: DataFrame) -> DataFrame:
     """``files`` -> code rows, one per non-blank line of a file with a known suffix."""
-    known = files.where(lang.is_source(F.col("path"))).select("path", "content")
+    path = F.col("path")
+    known = files.where(lang.is_source(path)).select(
+        "path", lang.bare_text(F.col("content"), tx.suffix_of(path)).alias("content")
+    )
     stripped = F.transform(
         "body",
         lambda x, i: F.struct(
@@ -46,6 +49,7 @@ def code_lines(files: DataFrame) -> DataFrame:
         return F.struct(
             x["line_no"].alias("line_no"),
             x["rest"].alias("rest"),
+            back["rest"].alias("above"),
             _indent(x).alias("indent"),
             back["line_no"].alias("prev_line"),
             F.when(_dedents(x["rest"], _indent(x), above), closes).alias("closes"),
@@ -59,7 +63,9 @@ def code_lines(files: DataFrame) -> DataFrame:
 
 def code_lines_of(lines: DataFrame) -> DataFrame:
     """``lines`` -> code rows; neighbours come from ordered look-ups per path."""
-    stripped = lines.where(lang.is_source(F.col("path"))).select(
+    bare = lang.bare_text(F.col("text"), tx.suffix_of(F.col("path")))
+    known = lines.where(lang.is_source(F.col("path"))).select("path", "line_no", bare.alias("text"))
+    stripped = known.select(
         "path", "line_no", F.octet_length("text").alias("size"), _rest(F.col("text")).alias("rest")
     )
     filled = stripped.where(F.col("rest") != "").withColumn(
@@ -77,6 +83,7 @@ def code_lines_of(lines: DataFrame) -> DataFrame:
         "path",
         "line_no",
         "rest",
+        F.col("_back.rest").alias("above"),
         "indent",
         F.col("_back.line_no").alias("prev_line"),
         F.when(
@@ -117,17 +124,18 @@ def _features(rows: DataFrame) -> DataFrame:
 
     Every pattern is evaluated in a layer of its own, so that no later expression repeats it.
     """
-    suffix, bare = F.col("suffix"), F.col("bare")
+    suffix, bare = F.col("suffix"), F.col("rest")
     name = F.when(F.col("function") != "", F.col("function")).when(F.col("class") != "", F.col("class"))
+    typed_above = (
+        suffix.isin("c", "cpp")
+        & (F.col("indent") == 0)
+        & bare.rlike(lang.NAME_LINE)
+        & F.col("above").rlike(lang.TYPE_LINE)
+    )
     named = (
         rows.withColumn("suffix", tx.suffix_of(F.col("path")))
-        .withColumn("plain", lang.without_strings(F.col("rest")))
-        .withColumn("cut_at", lang.comment_at(F.col("plain"), suffix))
-        .withColumn(
-            "bare",
-            F.when(F.col("cut_at") > 0, F.left("plain", F.col("cut_at") - 1)).otherwise(F.col("plain")),
-        )
-        .withColumn("function", lang.match_name(bare, lang.rule_for(suffix, lang.FUNCTION_RULES)))
+        .withColumn("head", F.when(typed_above, F.concat_ws(" ", "above", bare)).otherwise(bare))
+        .withColumn("function", lang.match_name(F.col("head"), lang.rule_for(suffix, lang.FUNCTION_RULES)))
         .withColumn(
             "class",
             F.when(

@@ -311,3 +311,104 @@ def test_dip_is_exact_at_any_depth(spark):
             depth += 1 if c == "{" else -1
             low = min(low, depth)
         assert r.dip == low, r.b
+
+
+PY_TEXT = '''def f(x):
+    \"\"\"Uses ghost().
+
+def inside(): pass
+    >>> helper(1)
+    \"\"\"
+# at the margin: gone()
+    a = r'foo(1)' + f"# {x}" + str(x)
+    b = {'k(': 1, "it's(": open(x)}
+    return \"\"\"one
+two(1)\"\"\".strip()
+
+def größe():
+    messen()
+'''
+C_HARD = '''/* int fake(void) {
+   other();
+*/
+int real(void) {
+    /* } */ a("/* "); b();
+    c('"'); // d(
+}
+static int
+helper(char *s)
+{
+    return s[0] == '}' || e();
+}
+'''
+CPP_HARD = '''class A {
+public:
+    A(int x) : v(x) {
+        run<int>(1);
+    }
+    ~A() {}
+};
+A::A()
+{
+    auto s = R"(} fake( ")"; raw(1'000);
+}
+std::vector<int> A::all(int n) {
+    FOREACH(n) { go(); }
+}
+'''
+GO_HARD = '''package p
+func f() string {
+    s := `func no() {
+x(1)
+`
+    return g(s)
+}
+func h() rune { return k('}') }
+'''
+RS_HARD = '''/* a /* b */ fn no() { */
+impl<T: Foo<U>> Bar {
+    fn pairs<'a>(x: &'a str) -> [[u8; 4]; 2] {
+        b::<u8>(1); c(r#"d( " }"#); e("
+}
+f(");
+    }
+}
+'''
+
+
+def test_comments_and_literals_are_no_code(spark):
+    texts = ("a.py", PY_TEXT), ("a.c", C_HARD), ("b.cpp", CPP_HARD), ("c.go", GO_HARD), ("d.rs", RS_HARD)
+    code = ex.code_lines(files(spark, *texts))
+    found = ex.span_ends(code)
+    assert sorted((r.path, r.target_id, r.name, r.start_line, r.end_line) for r in found.collect()) == [
+        ("a.c", "function", "helper", 9, 12), ("a.c", "function", "real", 4, 7),
+        ("a.py", "function", "f", 1, 11), ("a.py", "function", "größe", 13, 14),
+        ("b.cpp", "class", "A", 1, 7), ("b.cpp", "function", "A", 3, 5), ("b.cpp", "function", "A", 6, 6),
+        ("b.cpp", "function", "A", 8, 11), ("b.cpp", "function", "all", 12, 14),
+        ("c.go", "function", "f", 2, 7), ("c.go", "function", "h", 8, 8),
+        ("d.rs", "class", "Bar", 2, 8), ("d.rs", "function", "pairs", 3, 7),
+    ]
+    functions = found.where("target_id = 'function'")
+    calls = sorted((r.file, r.callee_name) for r in ex.find_calls(code, functions).collect())
+    assert calls == [
+        ("a.c", "a"), ("a.c", "b"), ("a.c", "c"), ("a.c", "e"),
+        ("a.py", "messen"), ("a.py", "open"), ("a.py", "str"), ("a.py", "strip"),
+        ("b.cpp", "FOREACH"), ("b.cpp", "go"), ("b.cpp", "raw"), ("b.cpp", "run"), ("b.cpp", "v"),
+        ("c.go", "g"), ("c.go", "k"), ("d.rs", "b"), ("d.rs", "c"), ("d.rs", "e"),
+    ]
+
+
+def test_bare_text_keeps_every_line(spark):
+    rng = random.Random(3)
+    signs = ["'", '"', "`", "#", "//", "/*", "*/", "\\", "\n", "\r\n", "\x0c", " ", "a(", "R", "r", "8", " ", "'''", '"""', "}", "é"]
+    texts = [(f"{i}.{rng.choice(list(lang.STYLES))}", "".join(rng.choices(signs, k=rng.randrange(60)))) for i in range(300)]
+    texts += [("long.py", "x = '" + "ab" * 300_000 + "'\n'''" + "line\n" * 100_000 + "'''\n"), ("long.c", "/*" + "* \n" * 200_000 + "*/ f();")]
+    rows = files(spark, *texts).withColumn("bare", lang.bare_text(F.col("content"), F.substring_index("path", ".", -1)))
+    for r in rows.collect():
+        assert [c for c in r.bare if c in "\n\r\x0c "] == [c for c in r.content if c in "\n\r\x0c "], r.path
+
+
+def test_mark_by_bracket_depth(spark):
+    cases = {"-> [[u8; 4]; 2] {": "{", "f((a;b)(c{d}));": ";", "x(": None, "int b) {": "{", "for (;;) a[{;": None, "": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "b STRING").select("b", lang.first_mark(F.col("b")).alias("m")).collect()
+    assert {r.b: r.m for r in rows} == cases
