@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import clean_answer
 from ..plans.lookup import join_lookup
-from ..schema import ANSWER, Action
+from ..schema import ANSWER, TARGETS, Action, Target
 
 
 def clean_answers(raw: DataFrame) -> DataFrame:
@@ -43,16 +43,19 @@ def _ddl(fields: str) -> str:
 def parse_answers(clean: DataFrame) -> DataFrame:
     """``actions(request_id, ordinal, name, input)``; empty answers and no ``actions`` give none.
 
+    A ``part`` of the request, where there is one, is carried on.
+
     Bad answers are left out by an outer explode of NULL, not by a filter: a filter on the parse
     result would be pushed below the parse and clean the text once more for each mention.
     """
     actions = F.when(~F.col("_bad"), F.get("_docs", F.lit(0))["actions"])
+    keys = ["request_id", "part"] if "part" in clean.columns else ["request_id"]
     return (
         _parsed(clean)
-        .select("request_id", F.posexplode_outer(actions).alias("ordinal", "action"))
+        .select(*keys, F.posexplode_outer(actions).alias("ordinal", "action"))
         .where(F.col("ordinal").isNotNull())
         .select(
-            "request_id",
+            *keys,
             "ordinal",
             F.col("action.name").alias("name"),
             F.coalesce("action.input", F.create_map().cast("map<string,string>")).alias("input"),
@@ -130,20 +133,29 @@ def _with_request(actions: DataFrame, requests: DataFrame, columns: list[str]) -
     return join_lookup(actions, requests.select("request_id", *columns), "request_id")
 
 
-def answers_to_found(actions: DataFrame, requests: DataFrame) -> DataFrame:
+def _with_children(targets: tuple[Target, ...]) -> list[Target]:
+    return [x for t in targets for x in (t, *_with_children(t.children))]
+
+
+def answers_to_found(
+    actions: DataFrame, requests: DataFrame, targets: tuple[Target, ...] = TARGETS
+) -> DataFrame:
     """``found_target`` actions -> ``found`` rows plus ``file``; the file falls back to the path.
 
     ``requests`` has one row per ``request_id`` with ``path`` and ``target_id``, and with
-    ``parent_id`` when it reads inside a parent.
+    ``parent_id`` when it reads inside a parent. The name is in the field that the request's target
+    names, or else in the field of another of the ``targets``.
     """
     nested = "parent_id" in requests.columns
     columns = ["path", "target_id", "parent_id"] if nested else ["path", "target_id"]
     rows = _with_request(actions.where(F.col("name") == "found_target"), requests, columns)
     field = F.col("input")
+    known = _with_children(targets)
+    own = [F.when(F.col("target_id") == t.target_id, field[t.name_field]) for t in known]
     return rows.select(
         "path",
         "target_id",
-        F.coalesce(field["function_name"], field["class_name"]).alias("name"),
+        F.coalesce(*own, *[field[t.name_field] for t in known]).alias("name"),
         field["start_line"].try_cast("int").alias("start_line"),
         field["end_line"].try_cast("int").alias("end_line"),
         (F.col("parent_id") if nested else F.lit(None).cast("string")).alias("parent_id"),

@@ -12,6 +12,7 @@ from ..plans.spans import join_spans
 
 SLICE_CELL = 32
 PART_LINES = 4096
+OMISSION_BLOCK = 65536
 # Line number and text frame of an omission marker.
 NO_LINE = -1
 MARKER = ("[omitted lines: ", "]")
@@ -86,12 +87,26 @@ def bad_omissions(requests: DataFrame) -> DataFrame:
     return bad.select("request_id", F.lit("bad_omission").alias("reason"), F.col("token").alias("raw"))
 
 
-def expand_omissions(requests: DataFrame) -> DataFrame:
-    """``requests(request_id, spec)`` -> distinct ``(request_id, line_no)``."""
-    good = _tokens(requests).where(F.col("first") <= F.col("last"))
-    return good.select(
-        "request_id", F.explode(F.sequence("first", "last")).alias("line_no")
-    ).distinct()
+def expand_omissions(requests: DataFrame, n_lines: str | None = None) -> DataFrame:
+    """``requests(request_id, spec)`` -> distinct ``(request_id, line_no)``.
+
+    ``n_lines`` names a column with the last line to give. Ranges are cut into blocks first, so
+    that no array is longer than a block.
+    """
+    good = _tokens(requests)
+    if n_lines:
+        sizes = requests.select("request_id", F.col(n_lines).alias("_size")).distinct()
+        good = join_lookup(good, sizes, "request_id").withColumn("last", F.least("last", "_size"))
+    block = F.lit(OMISSION_BLOCK)
+    blocks = F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))
+    cells = good.where(F.col("first") <= F.col("last")).withColumn(
+        "_from", F.explode(F.transform(blocks, lambda b: b * block))
+    )
+    lines = F.sequence(
+        F.greatest("first", F.col("_from")).cast("int"),
+        F.least("last", F.col("_from") + block - 1).cast("int"),
+    )
+    return cells.select("request_id", F.explode(lines).alias("line_no")).distinct()
 
 
 def omission_runs(requests: DataFrame) -> DataFrame:

@@ -197,24 +197,25 @@ def next_round(
 ) -> DataFrame:
     """Follow-up requests from ``retry_with`` actions, never one that was asked before.
 
-    Of several retries in one answer the last one counts. Ranges are cut to the file. The
+    Of several retries in one answer (to a request, or to a ``part`` of it) the last one counts. Ranges are cut to the file. The
     columns of a request are ``(request_id, path, target_id, start, end, spec)`` and ``carry``.
     """
+    keys = ["request_id", "part"] if "part" in actions.columns else ["request_id"]
     retry = (
         actions.where(F.col("name") == "retry_with")
         .select(
-            "request_id",
+            *keys,
             "ordinal",
             F.col("input")["start"].try_cast("int").alias("start"),
             F.col("input")["end"].try_cast("int").alias("end"),
             F.coalesce(F.col("input")["omitted_lines"], F.lit("")).alias("spec"),
         )
         .where(F.col("start").isNotNull() & F.col("end").isNotNull())
-        .groupBy("request_id")
+        .groupBy(*keys)
         .agg(F.max(F.struct("ordinal", "start", "end", "spec")).alias("r"))
     )
     kept = ["path", "target_id", *carry]
-    asked = join_lookup(requests.select("request_id", *kept), retry, "request_id")
+    asked = join_lookup(retry, requests.select("request_id", *kept), "request_id")
     sized = join_lookup(asked, counts.select("path", "n_lines"), "path")
     fresh = (
         sized.select(

@@ -65,7 +65,23 @@ def _ask(prompts: DataFrame, answer: Answer, stage: str) -> tuple[DataFrame, Dat
     )
     # a question that several requests share was asked, and is counted, once
     usage = usage.dropDuplicates(["prompt_key"]).drop("prompt_key")
-    return answered.select("request_id", "raw"), usage
+    return answered.select("request_id", "part", "raw"), usage
+
+
+def _unreadable(checked: DataFrame) -> DataFrame:
+    """Requests with an error as ``quarantine`` rows."""
+    return checked.where(F.col("error").isNotNull()).select(
+        "request_id", F.col("error").alias("reason"), F.concat_ws(":", "path", "start", "end").alias("raw")
+    )
+
+
+def _inside(ranges: DataFrame, counts: DataFrame) -> DataFrame:
+    """Answered line ranges cut to their file; one that lies outside is left out."""
+    sized = join_lookup(ranges, counts.select("path", "n_lines"), "path")
+    cut_to = sized.withColumn("start_line", F.greatest("start_line", F.lit(1))).withColumn(
+        "end_line", F.least("end_line", "n_lines")
+    )
+    return cut_to.where(F.col("start_line") <= F.col("end_line")).drop("n_lines")
 
 
 def run_rounds(
@@ -96,8 +112,8 @@ def run_rounds(
         clean = an.clean_answers(raw)
         checked = cut(an.check_required(an.parse_answers(clean), catalog), "actions")
         good = an.good_actions(checked)
-        found.append(an.answers_to_found(good, requests))
-        bad += [an.quarantined(checked), an.bad_answers(clean)]
+        found.append(an.answers_to_found(good, requests, (target,)))
+        bad += [an.quarantined(checked), an.bad_answers(clean), _unreadable(checked_requests)]
         usage.append(used)
         seen = requests if seen is None else seen.unionByName(requests)
         turn += 1
@@ -136,16 +152,18 @@ def _level(scope: DataFrame, keys: tuple[str, ...], targets, lines, counts, answ
         got = run_rounds(requests, lines, counts, target, answer, max_rounds)
         got.found = cut(got.found, "found")
         out.append(got)
-        claims = got.found.select(*keys, "start_line", "end_line")
+        claims = _inside(got.found.select("path", *keys[1:], "start_line", "end_line"), counts)
         claimed = claims if claimed is None else claimed.unionByName(claims)
         if target.children:
-            parents = got.found.select(
+            ranges = got.found.select(
                 "path",
                 tx.node_id(F.col("path"), F.col("start_line"), F.col("name")).alias("parent_id"),
                 "start_line",
                 "end_line",
-                (F.col("end_line") - F.col("start_line") + 1).alias("scope_lines"),
-            ).dropDuplicates(["path", "parent_id"])
+            )
+            parents = _inside(ranges.dropDuplicates(["path", "parent_id"]), counts).withColumn(
+                "scope_lines", F.col("end_line") - F.col("start_line") + 1
+            )
             inner = wn.plan_windows_within(parents)
             out += _level(inner, ("path", "parent_id"), target.children, lines, counts, answer, max_rounds)
     return out
@@ -188,7 +206,7 @@ def call_graph_from_answers(files: DataFrame, answer: Answer, max_rounds: int |
     edges = gr.build_edges(gr.resolve_callees(calls, nodes))
     merged = Extraction(
         found,
-        _union([got.quarantine, an.quarantined(checked), an.bad_answers(clean)]),
+        _union([_unreadable(readable), got.quarantine, an.quarantined(checked), an.bad_answers(clean)]),
         got.usage.unionByName(used),
         got.open_requests,
     )

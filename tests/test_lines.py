@@ -132,3 +132,10 @@ def test_long_excerpts_continue_in_parts(spark):
     assert "\n".join(r.excerpt for r in rows) == "\n".join(f"{i}: t{i}" for i in range(11, 96))
     plain = ln.render_excerpts(ln.slice_lines(lines, requests), numbered=False).collect()[0].excerpt
     assert plain == "\n".join(f"t{i}" for i in range(11, 96))
+
+
+def test_omissions_cut_to_the_file(spark):
+    requests = spark.createDataFrame([("r", "3-2147483647,1", 5), ("s", "65530-65540", 70000), ("t", "9", 5)], "request_id STRING, spec STRING, n INT")
+    got = sorted((r.request_id, r.line_no) for r in ln.expand_omissions(requests, "n").collect())
+    assert got == [("r", n) for n in (1, 3, 4, 5)] + [("s", n) for n in range(65530, 65541)]
+    assert ln.expand_omissions(requests.where("request_id = 's'")).count() == 11

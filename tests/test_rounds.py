@@ -72,3 +72,47 @@ def test_retry_reads_on(spark):
     stopped = extract_targets(source, asking(model), TARGETS[1:], max_rounds=1)
     assert stopped.found.count() == 0
     assert [(r.start, r.end) for r in stopped.open_requests.collect()] == [(25, 57)]
+
+
+def answers(found):
+    """One class answer over all prompts that show its first line."""
+    def batch(prompts):
+        return [json.dumps({"actions": [{"name": "found_target", "input": found}]}) if "class definition" in p and f"\n{found['start_line']}: " in p else "" for p in prompts]
+    return asking(batch)
+
+
+def test_ranges_past_the_file_lose_nothing(spark):
+    """A class said to end after the file still has its methods looked for."""
+    def batch(prompts):
+        out = model(prompts)
+        return [o.replace('"end_line": 20', '"end_line": 2147483647') if "class definition" in p else o for p, o in zip(prompts, out)]
+
+    got = extract_targets(files(spark, ("/example.py", CLASSES)), asking(batch))
+    assert sorted(r.name for r in got.found.where("parent_id is not null").collect()) == ["add", "clear"]
+    assert sorted(r.name for r in got.found.where("parent_id is null").collect()) == ["Basket", "report", "total"]
+
+
+def test_custom_target_and_unreadable_body(spark):
+    from spanloom.schema import Target
+
+    struct = Target("struct", "class definition", "struct_name")
+    got = extract_targets(files(spark, ("a.py", "class A:\n    pass\n")), answers({"struct_name": "A", "start_line": 1, "end_line": 2}), (struct,))
+    assert [(r.target_id, r.name) for r in got.found.collect()] == [("struct", "A")]
+
+    def bodies(prompts):
+        return [json.dumps({"actions": [{"name": "found_target", "input": {"function_name": "f", "start_line": 1, "end_line": 9}}]}) if "function definition" in p else "" for p in prompts]
+
+    _, seen = call_graph_from_answers(files(spark, ("a.py", "def f():\n    g()\n")), asking(bodies))
+    assert [(r.reason, r.raw) for r in seen.quarantine.collect()] == [("end_after_last_line", "a.py:1:9")]
+
+
+def test_each_part_has_its_retry(spark):
+    from spanloom.operators import windows as wn
+
+    actions = spark.createDataFrame(
+        [("r", p, 0, "retry_with", {"start": str(10 * p + 1), "end": str(10 * p + 5)}) for p in range(2)],
+        "request_id STRING, part INT, ordinal INT, name STRING, input MAP<STRING,STRING>",
+    )
+    requests = spark.createDataFrame([("r", "a.py", "function", 1, 9000, "")], "request_id STRING, path STRING, target_id STRING, start INT, end INT, spec STRING")
+    counts = spark.createDataFrame([("a.py", 9000)], "path STRING, n_lines INT")
+    assert sorted((r.start, r.end) for r in wn.next_round(actions, requests, counts).collect()) == [(1, 5), (11, 15)]
