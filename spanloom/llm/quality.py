@@ -6,7 +6,9 @@ each grade or better. Fitted with an L1 penalty by accelerated proximal steps on
 of rated documents (TRAIN_ROWS, those with the least hashes of their ids); applied to every document.
 
 Features: each distinct word, its first letters, and bins of a document's shape (signs, capitals,
-repetition). Grades of the table ``labels``: 0 low quality, 1 good but toxic, 2 good and clean.
+repetition). Grades of the table ``labels``: 0 toxic, 1 harmless but of low quality, 2 good and clean.
+Toxic is the lowest grade, since how many such words a text has varies most: the end of the scale is
+open, while a grade in the middle would have to hold both few and many of them.
 
 Defined cases: a null or empty text has its shape features only; a document rated twice counts with
 its worst ratings; rows without an id or a rating don't train; without ratings everything has the
@@ -33,7 +35,7 @@ TRAIN_ROWS = 12_000
 #: Hashed features.
 WIDTH = 1 << 19
 #: Weight of the L1 penalty, as a share of a row.
-PENALTY = 0.5
+PENALTY = 2.0
 STEPS = 150
 #: A document stays if its chance of the top grade is at least this.
 LEAST_CHANCE = 0.5
@@ -123,10 +125,10 @@ def fit(places: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, penalty
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
-    """``doc_id, grade``: 0 low quality, 1 good but toxic, 2 good and clean; the worst of several ratings."""
+    """``doc_id, grade``: 0 toxic, 1 harmless but of low quality, 2 good and clean; the worst of several ratings."""
     rated = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality", "toxic").dropna()
     return rated.groupBy("doc_id").agg(
-        F.when(F.min("quality") <= 0, 0).when(F.max("toxic") > 0, 1).otherwise(2).alias("grade")
+        F.when(F.max("toxic") > 0, 0).when(F.min("quality") <= 0, 1).otherwise(2).alias("grade")
     )
 
 
@@ -146,11 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Ordinal
     return fit(places, rows.column("grade").to_numpy().astype(int) if rows.num_rows else np.zeros(0, int))
 
 
-_SCORED = "expected_grade double, p_good double, p_clean double, kept boolean"
+_SCORED = "expected_grade double, p_harmless double, p_clean double, kept boolean"
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame, least: float = LEAST_CHANCE, carried: bool = False) -> DataFrame:
-    """``doc_id, expected_grade, p_good, p_clean, kept`` for every row.
+    """``doc_id, expected_grade, p_harmless, p_clean, kept`` for every row.
 
     With ``carried`` the kept rows of ``docs`` with all their columns come back instead.
     """
@@ -180,6 +182,6 @@ def grade_documents(docs: DataFrame, labels: DataFrame, least: float = LEAST_CHA
                 if part.num_rows:
                     tails = graded(part.column(1).to_pylist())
                     columns = [part.column(0), *map(pa.array, (tails.sum(axis=1), tails[:, 0], tails[:, -1], tails[:, -1] >= least))]
-                    yield pa.record_batch(columns, ["doc_id", "expected_grade", "p_good", "p_clean", "kept"])
+                    yield pa.record_batch(columns, ["doc_id", "expected_grade", "p_harmless", "p_clean", "kept"])
 
     return read_texts(docs).mapInArrow(run, f"doc_id long, {_SCORED}")

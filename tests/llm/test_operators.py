@@ -116,7 +116,7 @@ def test_quality_on_held_out_ratings(spark):
     wrong = sum(out[i][0].kept != (not ("$$$" in t or "scoundrel" in t or "rascal" in t)) for i, t, *_ in rows[600:900])
     assert wrong <= 6
     for (r,) in out.values():
-        assert 0 <= r.p_clean <= r.p_good <= 1 and abs(r.expected_grade - r.p_clean - r.p_good) < 1e-9
+        assert 0 <= r.p_clean <= r.p_harmless <= 1 and abs(r.expected_grade - r.p_clean - r.p_harmless) < 1e-9
     kept = quality.grade_documents(frame(spark, rows), rated, carried=True)
     assert kept.columns == frame(spark, rows).columns
     assert {r.doc_id for r in kept.collect()} == {i for i, (r,) in out.items() if r.kept}
