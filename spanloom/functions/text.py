@@ -34,10 +34,6 @@ def line_count(content: Column) -> Column:
     return (breaks + open_end.cast("int")).cast("int")
 
 
-def is_blank(text: Column) -> Column:
-    return F.trim(text, F.lit(" \t")) == ""
-
-
 def suffix_of(path: Column) -> Column:
     return F.substring_index(path, ".", -1)
 

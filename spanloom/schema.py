@@ -4,19 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-FILES = "path STRING, content STRING"
-LINES = "path STRING, line_no INT, text STRING"
-WINDOWS = "path STRING, target_id STRING, window_id INT, start_line INT, end_line INT"
-FOUND = (
-    "path STRING, target_id STRING, name STRING, start_line INT, end_line INT, parent_id STRING"
-)
-NODES = "node_id STRING, name STRING, file STRING, line_start INT, line_end INT"
-CALLS = "caller_id STRING, callee_name STRING, file STRING, line_no INT"
-EDGES = "caller_id STRING, callee_id STRING, file STRING, line_start INT, line_end INT"
-ACTIONS = "request_id STRING, ordinal INT, name STRING, input MAP<STRING,STRING>"
-QUARANTINE = "request_id STRING, reason STRING, raw STRING"
-USAGE = "stage STRING, path STRING, in_tokens BIGINT, out_tokens BIGINT, time_secs DOUBLE"
-SCORE = "project STRING, kind STRING, detail STRING"
 GOLDEN = "nodes ARRAY<STRUCT<name: STRING>>, edges MAP<STRING, ARRAY<STRING>>"
 ANSWER = "actions ARRAY<STRUCT<name: STRING, input: MAP<STRING, STRING>>>"
 

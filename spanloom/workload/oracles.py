@@ -365,6 +365,9 @@ ORACLES: dict[str, str] = {
     ),
     "golden_nodes": _gold("SELECT * FROM gn"),
     "golden_edges": _gold("SELECT * FROM ge"),
+    "golden_findings": """SELECT 'src/orders/o' || o_orderkey || '.py' AS project, 'golden' AS kind,
+        CASE o_orderkey % 7 WHEN 0 THEN 'metadata.json not found' ELSE 'metadata.json not readable' END AS detail
+        FROM orders WHERE o_orderkey % 7 IN (0, 3)""",
     "node_count_diff": _gold("SELECT * FROM e1"),
     "missing_functions": _gold("SELECT * FROM e2"),
     "missing_callers": _gold("SELECT * FROM e3"),

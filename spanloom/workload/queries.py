@@ -506,6 +506,15 @@ def golden_edges(spark, sf_dir):
     return gl.parse_golden(_golden_texts(spark, sf_dir))[1]
 
 
+@query
+def golden_findings(spark, sf_dir):
+    """One golden text in seven is left out, and another cut short, so that it can't be read."""
+    texts = _golden_texts(spark, sf_dir)
+    k = F.regexp_extract("project", r"o(\d+)\.py$", 1).cast("bigint")
+    json = F.when(k % 7 == 3, F.left("json", F.length("json") - 1)).otherwise(F.col("json"))
+    return sc.golden_findings(texts, texts.where(k % 7 != 0).select("project", json.alias("json")))
+
+
 @query
 def node_count_diff(spark, sf_dir):
     golden_nodes, _, nodes, _ = _scored(spark, sf_dir)
