@@ -5,10 +5,11 @@ each of the 255 decision nodes a Krichevsky-Trofimov estimate predicts the bit.
 probability of a node is half its own estimate's and half the product of its children's, so
 predictions mix all depths by how well they did on the training documents.
 
-Counts are gathered over all training documents (byte strings of DEPTH + 1, with counts). A context
-has a node of its own if it holds at least one in SHARE of all training bytes; the rest of a node's
-contexts are one further child. A depth thus has at most SHARE contexts whatever the corpus, which
-bounds the model that is sent to the executors (about 26,000 leaves of 256 numbers, 27 MB, on prose).
+Counts are gathered over all training documents (byte strings of DEPTH + 1, with counts), and every
+context of the training text has its node: the tree grows with the corpus. It is a table with one row
+for each context and decision node; weights go up and mixtures down by one join or sum a depth, and no
+key has more than 256 rows below it. The outcome is one score for each distinct byte string of the
+documents; tasks have those of the most frequent strings at hand, all others are joined.
 
 What is scored is the string of a document's tokens in lower case (A-Z only), joined by one space,
 with an end symbol (0xFF, which UTF-8 has not); contexts before its start are 0xFF.
@@ -20,6 +21,7 @@ each time.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections import Counter
@@ -29,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -37,16 +39,17 @@ from .bpe import slices
 from .common import read_texts
 
 DEPTH = 5
-SHARE = 1 << 16
 END = b"\xff"
 #: Frequent words whose scores every task has at hand; all others are joined.
 FREQUENT = 1 << 17
+#: Byte strings, likewise; at most so many.
+FREQUENT_GRAMS = 1 << 20
 #: Distinct words and byte strings that a counting task holds before it hands them on.
 FLUSH = 400_000
 FLUSH_GRAMS = 2_000_000
 #: Bytes of a document that are scored at once.
 SEGMENT = 1 << 20
-#: Contexts of the tree that the driver works on at once.
+#: Contexts that are worked on at once where a tree is grown in memory.
 CHUNK = 1000
 
 
@@ -66,12 +69,15 @@ def _layout(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.arange(lengths.sum()) + skip
 
 
-def gram_counts(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    data, at = _layout(bodies)
+def _grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     grams = np.zeros(len(at), np.int64)
     for back in range(DEPTH, -1, -1):
         grams = (grams << 8) | data[at - back]
-    return np.unique(grams, return_counts=True)
+    return grams
+
+
+def gram_counts(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(_grams(*_layout(bodies)), return_counts=True)
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,46 +86,55 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def corpus_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """``word, n`` and ``gram, n`` of all training documents (written tables), and how many documents those are."""
+    """``word, n`` and ``gram, n, seen`` (written tables), and how many training documents there are.
+
+    ``n`` counts in training documents; ``seen`` counts a gram in all documents, as all are scored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["word", "gram", "n"]
+        names = ["word", "gram", "n", "seen"]
 
         def words_out(words: Counter) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names)
+            n = pa.array(list(words.values()), pa.int64())
+            return pa.record_batch([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), n, n], names)
 
-        def grams_out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(n.astype(np.int64))], names)
+        def grams_out(keys: np.ndarray, n: np.ndarray, held_out: bool) -> pa.RecordBatch:
+            seen = n.astype(np.int64)
+            return pa.record_batch([pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(seen * (not held_out)), pa.array(seen)], names)
 
-        words, grams, held, n_docs = Counter(), [], 0, 0
+        words, grams, held, n_docs = Counter(), {False: [], True: []}, {False: 0, True: 0}, 0
         for batch in batches:
             for part in slices(batch):
-                pairs = zip(part.column(0).to_pylist(), part.column(1).to_pylist())
-                tokens = [tokens_of(text) for doc_id, text in pairs if not is_held_out(doc_id)]
-                n_docs += len(tokens)
-                for t in tokens:
+                tokens = {False: [], True: []}
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    tokens[is_held_out(doc_id)].append(tokens_of(text))
+                n_docs += len(tokens[False])
+                for t in tokens[False]:
                     words.update(t)
-                if tokens:
-                    grams.append(gram_counts([b" ".join(t) for t in tokens]))
-                    held += len(grams[-1][0])
                 if len(words) >= FLUSH:
                     yield words_out(words)
                     words.clear()
-                if held >= 2 * FLUSH_GRAMS:
-                    grams = [_added(grams)]
-                    held = len(grams[0][0])
-                    if held >= FLUSH_GRAMS:
-                        yield grams_out(*grams[0])
-                        grams, held = [], 0
+                for kind, own in tokens.items():
+                    if own:
+                        grams[kind].append(gram_counts([b" ".join(t) for t in own]))
+                        held[kind] += len(grams[kind][-1][0])
+                    if held[kind] >= 2 * FLUSH_GRAMS:
+                        grams[kind] = [_added(grams[kind])]
+                        held[kind] = len(grams[kind][0][0])
+                        if held[kind] >= FLUSH_GRAMS:
+                            yield grams_out(*grams[kind][0], kind)
+                            grams[kind], held[kind] = [], 0
         yield words_out(words)
-        if grams:
-            yield grams_out(*_added(grams))
-        yield pa.record_batch([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([n_docs], pa.int64())], names)
-
-    parts = read_texts(docs).mapInArrow(run, "word binary, gram long, n long")
-    counts = cut(parts.groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
+        for kind, parts in grams.items():
+            if parts:
+                yield grams_out(*_added(parts), kind)
+        n = pa.array([n_docs], pa.int64())
+        yield pa.record_batch([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), n, n], names)
+
+    parts = read_texts(docs).mapInArrow(run, "word binary, gram long, n long, seen long")
+    counts = cut(parts.groupBy("word", "gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")), "counts")
     words = counts.filter(F.col("word").isNotNull()).select("word", "n")
-    grams = counts.filter(F.col("gram").isNotNull()).select("gram", "n")
+    grams = counts.filter(F.col("gram").isNotNull()).select("gram", "n", "seen")
     n_docs = counts.filter(F.col("word").isNull() & F.col("gram").isNull()).agg(F.sum("n")).first()[0] or 0
     return words, grams, n_docs
 
@@ -161,7 +176,7 @@ def kt_next(heap: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ContextTree:
-    """``child``: of inner nodes (the first ones), the node for each byte further back; ``log10p``: of leaves, by symbol."""
+    """A tree in memory, for few documents. ``child``: of inner nodes (the first ones), the node for each byte further back; ``log10p``: of leaves, by symbol."""
 
     child: np.ndarray
     log10p: np.ndarray
@@ -284,30 +299,134 @@ def grow(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
     return ContextTree(child, log10p)
 
 
-def train(grams: DataFrame, share: int = SHARE) -> ContextTree:
-    """Counts of each depth are summed by Spark; at most ``share`` contexts a depth come to the driver."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    levels = []
-    for d in range(DEPTH + 1):
-        context = F.shiftright("gram", 8).bitwiseAND((1 << 8 * d) - 1)
-        sums = grams.groupBy(context.alias("context"), F.col("gram").bitwiseAND(255).alias("symbol")).agg(F.sum("n").alias("n"))
-        per = sums.groupBy("context").agg(F.sum("n").alias("of"), F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("by"))
-        kept = per.filter(F.col("of") * share >= total).select("context", F.map_keys("by").alias("s"), F.map_values("by").alias("n")).toArrow().combine_chunks()
-        found = kept.column("context").to_numpy()
-        contexts = np.sort(found)
-        counts = np.zeros((len(contexts), 256))
-        if len(contexts):
-            sizes = kept.column("s").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-            at = np.repeat(np.searchsorted(contexts, found), sizes)
-            symbols, n = (kept.column(c).combine_chunks().flatten().to_numpy() for c in ("s", "n"))
-            counts[at, symbols] = n
-        if d == 0 and not len(contexts):
-            contexts, counts = np.zeros(1, np.int64), np.zeros((1, 256))
-        levels.append((contexts, counts))
-    return grow(levels)
-
-
-def score_documents(docs: DataFrame, share: int = SHARE) -> DataFrame:
+def _weighted(cells: DataFrame, deepest: bool) -> DataFrame:
+    """``context, node, zero, one`` with the log of the weighted probability, the share of the own estimate, and its next one."""
+    half = math.log(0.5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            zero, one, below = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (2, 3, 4))
+            own = log_gamma(zero + 0.5) + log_gamma(one + 0.5) - log_gamma(zero + one + 1) - math.log(math.pi)
+            both = own if deepest else np.logaddexp(half + own, half + below)
+            mix = np.ones(len(own)) if deepest else np.exp(half + own - both)
+            columns = [*batch.columns[:4], pa.array(both), pa.array(mix), pa.array((one + 0.5) / (zero + one + 1))]
+            yield pa.record_batch(columns, ["context", "node", "zero", "one", "weighted", "mix", "next"])
+
+    return cells.mapInArrow(run, "context long, node int, zero long, one long, weighted double, mix double, next double")
+
+
+def _decisions(grams: DataFrame) -> DataFrame:
+    """Eight rows for each gram: its columns, ``context``, ``node`` and the ``bit`` decided there."""
+    symbol = F.col("gram").bitwiseAND(255).cast("int").alias("symbol")
+    each = grams.select("*", F.shiftright("gram", 8).alias("context"), symbol, F.explode(F.array(*map(F.lit, range(8)))).alias("level"))
+    return each.select(
+        *grams.columns, "context", F.expr("shiftright(256 | symbol, 8 - level)").alias("node"), F.expr("shiftright(symbol, 7 - level) & 1").alias("bit")
+    )
+
+
+def _shorter(depth: int) -> Column:
+    return F.col("context").bitwiseAND((1 << 8 * depth) - 1)
+
+
+def tree_levels(grams: DataFrame) -> list[DataFrame]:
+    """For each depth ``context, node, past, left``: a longer context predicts ``past + left * (its own prediction)``.
+
+    All contexts of the training documents; of a decision node without counts there is no row, and it
+    predicts one half. ``left`` is 0 at the last depth.
+    """
+    bits = _decisions(grams.filter("n > 0").select("gram", "n"))
+    counted = bits.groupBy("context", "node").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("zero"), F.sum(F.col("n") * F.col("bit")).alias("one"))
+    cells = counted.withColumn("below", F.lit(0.0))
+    levels = [cut(_weighted(cells, True), "level")]
+    for depth in range(DEPTH - 1, -1, -1):
+        up = levels[0].groupBy(_shorter(depth).alias("context"), "node")
+        cells = up.agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("weighted").alias("below"))
+        levels.insert(0, cut(_weighted(cells, False), "level"))
+    own, rest = F.col("mix") * F.col("next"), 1 - F.col("mix")
+    out = [cut(levels[0].select("context", "node", own.alias("past"), rest.alias("left")), "mixed")]
+    for depth in range(1, DEPTH + 1):
+        above = out[-1].withColumnsRenamed({"context": "above", "past": "p", "left": "l"})
+        joined = levels[depth].withColumn("above", _shorter(depth - 1)).join(above, ["above", "node"])
+        out.append(cut(joined.select("context", "node", (F.col("p") + F.col("l") * own).alias("past"), (F.col("l") * rest).alias("left")), "mixed"))
+    return out
+
+
+def gram_scores(grams: DataFrame) -> DataFrame:
+    """``gram, seen, log10p`` of all grams, written once: each bit by the longest context that has counts for it."""
+    levels = tree_levels(grams)
+    bits, chances = _decisions(grams.select("gram", "seen")), []
+    for depth in range(DEPTH, -1, -1):
+        known = levels[depth].withColumnRenamed("context", "own")
+        bits = bits.withColumn("own", _shorter(depth)).join(known, ["own", "node"], "left").drop("own")
+        if depth == DEPTH:
+            bits = cut(bits, "bits")
+        chances.append(bits.filter("past is not null").select("gram", "seen", "bit", (F.col("past") + F.col("left") / 2).alias("p")))
+        bits = bits.filter("past is null").drop("past", "left")
+    chances.append(bits.select("gram", "seen", "bit", F.lit(0.5).alias("p")))
+    every = functools.reduce(DataFrame.unionByName, chances)
+    log = F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
+    return cut(every.groupBy("gram").agg(F.first("seen").alias("seen"), F.sum(log).alias("log10p")), "grams")
+
+
+def _most_frequent(scored: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams in order and their scores: all that are seen more often than some limit, FREQUENT_GRAMS at most."""
+    band = F.floor(4 * F.log2("seen"))
+    total, least = 0, None
+    for b, n in sorted(scored.groupBy(band.alias("b")).count().collect(), reverse=True):
+        total += n
+        if total > FREQUENT_GRAMS:
+            break
+        least = b
+    found = scored.filter(F.lit(False) if least is None else band >= least).select("gram", "log10p").toArrow()
+    keys, values = (found.column(c).to_numpy() for c in ("gram", "log10p"))
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def _runs(bodies: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams of all bodies and the body of each, about SEGMENT at a time."""
+    small, of, size = [], [], 0
+    for i, body in enumerate([*bodies, None]):
+        if small and (body is None or size > 2 * SEGMENT):
+            yield _grams(*_layout(small)), np.repeat(of, [len(b) + 1 for b in small])
+            small, of, size = [], [], 0
+        if body is not None and len(body) <= SEGMENT:
+            small.append(body)
+            of.append(i)
+            size += len(body)
+        elif body is not None:
+            whole = END * DEPTH + body + END
+            for start in range(DEPTH, len(whole), SEGMENT):
+                data = np.frombuffer(whole[start - DEPTH : start + SEGMENT], np.uint8)
+                grams = _grams(data, np.arange(DEPTH, len(data)))
+                yield grams, np.full(len(grams), i)
+
+
+def body_scores(bodies: list[bytes], keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """log10 probability of each body with its end as far as ``keys`` go, and its grams that are not among them."""
+    out, others, whose = np.zeros(len(bodies)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for grams, of in _runs(bodies):
+        order = np.argsort(grams)
+        ordered = grams[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        distinct = ordered[new]
+        log = np.full(len(distinct), np.nan)
+        if len(keys):
+            place = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+            log = np.where(keys[place] == distinct, values[place], np.nan)
+        each = np.empty(len(grams))
+        each[order] = log[np.cumsum(new) - 1]
+        rare = np.isnan(each)
+        others.append(grams[rare])
+        whose.append(of[rare])
+        out += np.bincount(of, np.where(rare, 0.0, each), len(bodies))
+    of = np.concatenate(whose)
+    order = np.argsort(of, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(bodies)))]).astype(np.int32)
+    return out, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(others)[order]))
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
     """One row per document; see the module. ``bits_per_byte`` is the code length by the bytes scored."""
     words, grams, n_docs = corpus_counts(docs)
     summed = words.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
@@ -319,13 +438,14 @@ def score_documents(docs: DataFrame, share: int = SHARE) -> DataFrame:
     del frequent
     end_value, end_known = value(n_docs), int(n_docs > 0)
     context = docs.sparkSession.sparkContext
-    model = context.broadcast((train(grams, share), top))
+    scores = gram_scores(grams)
+    model = context.broadcast((*_most_frequent(scores), top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, frequent = model.value
+        keys, values, frequent = model.value
         row = TaskContext.get().partitionId() << 33
         rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
-        names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "rare"]
+        names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "rare", "rare_grams"]
         for batch in batches:
             for part in slices(batch):
                 if not part.num_rows:
@@ -345,29 +465,33 @@ def score_documents(docs: DataFrame, share: int = SHARE) -> DataFrame:
                     base.append(s)
                     rare.append(others)
                 bodies = [b" ".join(own) for own in tokens]
+                score, rare_grams = body_scores(bodies, keys, values)
                 ids = part.column(0)
                 columns = [
                     pa.array(range(row, row + part.num_rows), pa.int64()), ids, pa.array([is_held_out(i) for i in ids.to_pylist()]),
                     pa.array([len(own) + 1 for own in tokens], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                    pa.array(tree.score(bodies)), pa.array([len(b) + 1 for b in bodies], pa.int64()), pa.array(rare, rare_kind),
+                    pa.array(score), pa.array([len(b) + 1 for b in bodies], pa.int64()), pa.array(rare, rare_kind), rare_grams,
                 ]
                 row += part.num_rows
                 yield pa.record_batch(columns, names)
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, rare array<struct<word:binary,k:long>>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, rare array<struct<word:binary,k:long>>, rare_grams array<long>"
     scored = cut(read_texts(docs).mapInArrow(run, schema), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
     found = rare.join(words, "word", "left").select(
         "row", F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("known"), (F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(floor))).alias("base")
     )
     sums = found.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"))
-    return scored.drop("rare").join(sums, "row", "left").select(
+    further = scored.select("row", F.explode("rare_grams").alias("gram")).groupBy("row", "gram").agg(F.count("*").alias("k"))
+    further = further.join(scores, "gram").groupBy("row").agg(F.sum(F.col("k") * F.col("log10p")).alias("more_score"))
+    score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
+    return scored.drop("rare", "rare_grams").join(sums, "row", "left").join(further, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
-        (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
+        score.alias("score"),
+        (-score * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -426,6 +426,26 @@ def test_context_tree_is_the_weighted_mixture(monkeypatch):
     assert abs(tree._long(b"abracadabra zz") - tree._sums([b"abracadabra zz"])[0]) < 1e-6
 
 
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_every_context_has_its_node(spark, monkeypatch, most):
+    """Rare contexts too, whatever the corpus: scores equal those of the tree of all contexts."""
+    monkeypatch.setattr(lm_scoring, "FREQUENT_GRAMS", most)
+    monkeypatch.setattr(lm_scoring, "SEGMENT", 3000)
+    rows = [(i, t, "en", "s", 1) for i, (_, t) in enumerate(texts())] + [(900 + i, "e" * 70_000, "en", "s", 1) for i in range(3)]
+    assert not lm_scoring.is_held_out(900)
+    body = {i: b" ".join(lm_scoring.tokens_of(t)) for i, t, *_ in rows}
+    grams, n = lm_scoring.gram_counts([b for i, b in body.items() if not lm_scoring.is_held_out(i)])
+    levels = []
+    for d in range(lm_scoring.DEPTH + 1):
+        contexts, at = np.unique((grams >> 8) & ((1 << 8 * d) - 1), return_inverse=True)
+        counts = np.zeros((len(contexts), 256))
+        np.add.at(counts, (at, grams & 255), n)
+        levels.append((contexts, counts))
+    want = lm_scoring.grow(levels).score(list(body.values()))
+    got = {r.doc_id: r.score for r in lm_scoring.score_documents(frame(spark, rows)).collect()}
+    assert np.allclose([got[i] for i in body], want, rtol=1e-5, atol=2e-3)  # grow holds 32-bit numbers
+
+
 def test_log_gamma():
     x = np.array([0.5, 1.0, 3.5, 120.25, 1e8])
     assert np.allclose(lm_scoring.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
