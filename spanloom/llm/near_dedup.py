@@ -6,8 +6,9 @@ texts agree in such a sketch as they agree in content and order. Two sketches ma
 
 Texts that are equal in their words are one node first, so copies cost nothing later. In each bucket
 of a band the member with most company is the centre and every other member is paired with it; while
-a round finds new links, members of buckets that are not yet in one class get a further centre. That
-needs about as many pairs as members, however large a bucket. A pair is a link if at least LEAST of
+a bucket is not yet one class, members that have not been a centre become one, twice as many a round.
+A bucket of one class thus needs about as many pairs as members; in one that stays divided, every pair of
+members of different classes is compared. A pair is a link if at least LEAST of
 the two texts' distinct shingles are shared and a banded alignment of the labelled shingles (the
 longest chain of matches near the diagonal) shows that they mostly follow in the same order.
 
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -37,6 +38,8 @@ LEAST = 0.8
 #: Least share of labelled shingles in one chain.
 LEAST_ALIGNED = 0.6
 HASHES, BAND = 32, 2
+#: Centres that a bucket gets in one round; there are as many rounds as it takes.
+MOST_CENTRES = 512
 _SEEDS = (np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _WORDS_HELD = 400_000
@@ -224,25 +227,30 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     labels = members.select("node", F.col("node").alias("label")).distinct()
     links = spark.createDataFrame([], "a long, b long, jaccard double, aligned double")
     done = spark.createDataFrame([], "a long, b long")
-    open_ = members.withColumn("label", F.col("node"))
+    used, take = spark.createDataFrame([], "bucket long, node long"), 1
     while True:
-        centres = open_.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("centre"), (-F.col("label")).alias("own"))).alias("c"))
-        centres = centres.select("bucket", (-F.col("c.centre")).alias("centre"), (-F.col("c.own")).alias("own"))
-        pairs = _labelled_members(members, labels).join(centres, "bucket").filter("label <> own")
+        # buckets of several classes: further centres come from the members that have not been one
+        current = _labelled_members(members, labels)
+        several = current.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("bucket")
+        open_ = cut(current.join(several, "bucket"), "open")
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("company"), "node"))
+        ranked = open_.join(used, ["bucket", "node"], "left_anti").withColumn("place", place).filter(F.col("place") <= take)
+        centres = cut(ranked.select("bucket", F.col("node").alias("centre"), F.col("label").alias("own")), "centres")
+        if not centres.limit(1).count():
+            return nodes, labels, links
+        pairs = open_.join(centres, "bucket").filter("label <> own")
         pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         pairs = cut(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        used = used.unionByName(centres.select("bucket", F.col("centre").alias("node")))
+        done, take = done.unionByName(pairs), min(2 * take, MOST_CENTRES)
         new = _links(pairs, words)
         if not new.limit(1).count():
             return nodes, labels, links
-        links, done = links.unionByName(new), done.unionByName(pairs)
+        links = links.unionByName(new)
         named = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
         across = new.join(named, "a").join(named.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b")
         joined = components(across).select(F.col("node").alias("label"), F.col("label").alias("to"))
         labels = cut(labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        # buckets that still hold several classes: the next centre comes from outside the last one's class
-        current = _labelled_members(members, labels)
-        last = centres.join(labels.withColumnRenamed("node", "centre"), "centre").select("bucket", F.col("label").alias("taken"))
-        open_ = cut(current.join(last, "bucket").filter("label <> taken").drop("taken"), "open")
 
 
 def _labelled_members(members: DataFrame, labels: DataFrame) -> DataFrame:

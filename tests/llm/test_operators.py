@@ -172,6 +172,24 @@ def test_chain_of_near_copies_is_one_class(spark):
     assert {r.class_id for r in out.collect()} == {0}
 
 
+@pytest.mark.parametrize("links_elsewhere", [True])
+def test_all_members_of_a_divided_bucket_are_compared(spark, monkeypatch, links_elsewhere):
+    """Three hubs without links and a pair; the hubs have more company, so they are centres first."""
+    rows, words = [], [f"p{k}" for k in range(100)]
+    for i in range(5):
+        text = [f"h{i}w{k}" for k in range(100)] if i < 3 else [*words[:99], f"last{i}"]
+        rows.append((i, " ".join(text), "en", "s", 1))
+    chain = [f"c{k}" for k in range(200)]
+    for step in range(12 if links_elsewhere else 0):
+        rows.append((100 + step, " ".join(chain), "en", "s", 1))
+        chain[9 * step : 9 * step + 3] = [f"n{step}a", f"n{step}b", f"n{step}c"]
+    scan, F = near_dedup._scan, near_dedup.F
+    bands = F.when(F.col("doc_id") < 3, F.expr("array(7L, 8L)")).when(F.col("doc_id") < 5, F.expr("array(7L)")).otherwise(F.expr("array(9L)"))
+    monkeypatch.setattr(near_dedup, "_scan", lambda d: scan(d).withColumn("bands", bands))
+    out = near_dedup.near_duplicates(frame(spark, rows))
+    assert multiset(out, "doc_id", "class_id", "class_size") == near_by_hand([(i, t) for i, t, *_ in rows])
+
+
 def test_alignment_needs_the_order():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 1 << 60, 400).astype(np.uint64)
