@@ -245,7 +245,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         done, take = done.unionByName(pairs), min(2 * take, MOST_CENTRES)
         new = _links(pairs, words)
         if not new.limit(1).count():
-            return nodes, labels, links
+            continue
         links = links.unionByName(new)
         named = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
         across = new.join(named, "a").join(named.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b")

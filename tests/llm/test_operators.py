@@ -172,7 +172,7 @@ def test_chain_of_near_copies_is_one_class(spark):
     assert {r.class_id for r in out.collect()} == {0}
 
 
-@pytest.mark.parametrize("links_elsewhere", [True])
+@pytest.mark.parametrize("links_elsewhere", [True, False])
 def test_all_members_of_a_divided_bucket_are_compared(spark, monkeypatch, links_elsewhere):
     """Three hubs without links and a pair; the hubs have more company, so they are centres first."""
     rows, words = [], [f"p{k}" for k in range(100)]
