@@ -44,7 +44,7 @@ LEAST_BITS, LEAST_OF_EACH = 2.8, 3
 PLACEHOLDER = re.compile(r"example|changeme|placeholder|dummy|sample|your|test|xxx|1234567|abcdef", re.I)
 REDACTED = "<secret>"
 
-_SPAN = "struct<kind:int,start:int,end:int,from:int,to:int,hash:binary,random:boolean>"
+_SPAN = "struct<kind:int,start:int,end:int,from:int,to:int,hash:binary,random:boolean,placeholder:boolean>"
 
 
 def looks_random(value: str) -> bool:
@@ -90,7 +90,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "repository")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
-        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("from", pa.int32()), ("to", pa.int32()), ("hash", pa.binary()), ("random", pa.bool_())]))
+        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("from", pa.int32()), ("to", pa.int32()), ("hash", pa.binary()), ("random", pa.bool_()), ("placeholder", pa.bool_())]))
         for batch in batches:
             for part in slices(batch):
                 spans = []
@@ -98,7 +98,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "repository")
                     own = []
                     for k, start, end, low, high in candidates(text):
                         value = text[low:high]
-                        own.append({"kind": k, "start": start, "end": end, "from": low, "to": high, "hash": hashlib.sha256(value.encode()).digest()[:16], "random": looks_random(value)})
+                        own.append({"kind": k, "start": start, "end": end, "from": low, "to": high, "hash": hashlib.sha256(value.encode()).digest()[:16], "random": looks_random(value), "placeholder": bool(PLACEHOLDER.search(value))})
                     spans.append(own)
                 rows = pa.array(range(row, row + part.num_rows), pa.int64())
                 row += part.num_rows
@@ -156,9 +156,14 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "repo
 
 
 def redact(docs: DataFrame, owner: str = "source", repository: str = "repository", most_owners: int = MOST_OWNERS) -> DataFrame:
-    """``docs`` (all rows and columns) with the values of live spans replaced; ``n_chars`` follows where present."""
+    """``docs`` (all rows and columns) with the values of secrets replaced; ``n_chars`` follows where present.
+
+    Examples stay, and so do weak ``hex`` runs and weak ``assign`` values that are placeholders; access
+    keys and passwords need not look random.
+    """
     scanned = scan(docs, owner, repository)
-    live = classified(scanned, most_owners).filter(F.col("label") == "live")
+    weak = (F.col("label") == "weak") & ((F.col("span.kind") == 1) | ((F.col("span.kind") == 0) & ~F.col("span.placeholder")))
+    live = classified(scanned, most_owners).filter((F.col("label") == "live") | weak)
     span = F.struct(F.col("span.from").alias("from"), F.col("span.to").alias("to"))
     by_row = live.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("sp_values"))
     by_key = cut(scanned.select("row", *KEYS).join(by_row, "row").drop("row").dropDuplicates(KEYS), "live")
