@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, lm_scoring, near_dedup, packing, quality, secret_scan, suffix_dedup, warc
+from . import bpe, exact_dedup, filter_audit, fingerprints, lm_scoring, near_dedup, packing, quality, secret_scan, suffix_dedup, warc
 from .common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,52 @@ def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every document by the weighted context tree, and the unigram base."""
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at every step of all 120 orders, by source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), f AS (
+    SELECT part, doc_id,
+           (len(w) < 50)::INT * 16
+           + (100 * len(list_distinct(w)) < 65 * len(w))::INT * 8
+           + (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT * 4
+           + regexp_matches(t, '[#$%&*|]')::INT * 2
+           + coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)::INT AS fails
+    FROM d
+), l AS (
+    SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+    SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS g, coalesce(sum(toxic), 0) AS x
+    FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+), e AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([16, 8, 4, 2, 1]) AS bit
+), o AS (
+    SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+    FROM e a, e b, e c, e d, e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), s AS (
+    SELECT filter_order, k AS step, e.bit AS own,
+           coalesce((SELECT sum(b.bit) FROM e b WHERE instr(filter_order, b.letter) < k), 0)::INT AS before
+    FROM o, range(1, 6) r(k), e WHERE e.letter = substr(filter_order, k, 1)
+), m AS (
+    SELECT part, filter_order, step, own,
+           coalesce(sum(n) FILTER (fails & (before | own) = 0), 0)::BIGINT AS kept,
+           coalesce(sum(n) FILTER (fails & before = 0 AND fails & own <> 0), 0)::BIGINT AS removed,
+           coalesce(sum(n) FILTER (fails & before <> 0 AND fails & own <> 0), 0)::BIGINT AS redundant,
+           coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+           coalesce(sum(g) FILTER (fails & before = 0 AND fails & own <> 0), 0)::BIGINT AS good_lost,
+           coalesce(sum(x) FILTER (fails & before = 0 AND fails & own <> 0), 0)::BIGINT AS toxic_lost
+    FROM c, s GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM m
+"""
