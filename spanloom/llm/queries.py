@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, filter_audit, fingerprints, lm_scoring, near_dedup, packing, quality, secret_scan, suffix_dedup, warc
+from . import bpe, exact_dedup, filter_audit, fingerprints, lm_scoring, near_dedup, packing, quality, secret_scan, suffix_dedup, token_counts, warc
 from .common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,8 @@ ORACLES: dict[str, str] = {}
 
 #: The vocabulary that the contracts of operators 7 and 9 name.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: The model that the contract of operator 12 names.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn: Query) -> Query:
@@ -154,3 +156,9 @@ SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_f
        (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
 FROM m
 """
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it is over the limit."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES)
