@@ -28,6 +28,9 @@ def mismatch(spark_df, con, sql) -> str | None:
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} vs {sorted(want.columns)}"
     order = sorted(got.columns)
+    for c in order:  # whole numbers with nulls: pandas holds them as floats on the Spark side
+        if got[c].dtype.kind == "f" and want[c].dtype.kind in "iu":
+            got[c] = got[c].astype("Int64")
     kinds = [(c, str(got[c].dtype), str(want[c].dtype)) for c in order if got[c].dtype != want[c].dtype]
     a, b = rows_of(got, order), rows_of(want, order)
     if len(a) != len(b):
