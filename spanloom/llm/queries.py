@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, filter_audit, fingerprints, lm_scoring, near_dedup, packing, quality, secret_scan, suffix_dedup, token_counts, warc
+from . import bpe, conversation_trie, exact_dedup, filter_audit, fingerprints, lm_scoring, near_dedup, packing, quality, secret_scan, suffix_dedup, token_counts, warc
 from .common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,3 +162,46 @@ FROM m
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it is over the limit."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES)
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_conversation_trie"] = r"""
+WITH crc AS (
+    SELECT list(list_reduce(list_prepend(k, range(8)), lambda a, s: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY k) AS tbl
+    FROM range(256) r(k)
+), t AS (
+    SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS seq
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+    SELECT conv_id, seq,
+           xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i::INT, 1))::BIGINT)),
+                           lambda a, b: xor(a >> 8, tbl[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h
+    FROM t, crc
+), c AS (
+    SELECT h.conv_id, list_concat(coalesce(b.seq[1:h], []), h.seq[h + 1:]) AS seq
+    FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 100
+), m AS (
+    SELECT conv_id, d, seq[1:d] AS prefix, len(seq) AS n FROM c, unnest(range(0, len(seq) + 1)) u(d)
+), nodes AS (
+    SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256
+    FROM m GROUP BY prefix, d
+), kids AS (
+    SELECT prefix[1:d - 1] AS prefix, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
+), full_nodes AS (
+    SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+           CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(prefix[d].text) END AS saved
+    FROM nodes LEFT JOIN kids USING (prefix)
+), below AS (
+    SELECT prefix[1:k] AS prefix, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+    FROM full_nodes, unnest(range(0, d + 1)) u(k) GROUP BY 1
+)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM full_nodes x JOIN below USING (prefix)
+LEFT JOIN nodes p ON p.prefix = x.prefix[1:x.d - 1] AND x.d > 0
+"""
