@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SINGLE_BREAKS
+from .text import LINE_BREAK, SINGLE_BREAKS
 
 # File suffix -> block style.
 STYLES = {"py": "indent", "c": "brace", "cpp": "brace", "go": "brace", "rs": "brace"}
@@ -88,6 +88,9 @@ CLASS_RULES = {
     "c": r"^\s*(?:typedef\s+)?(?:struct|union|enum)\s+" + _NAME + r"\s*(?:\{.*)?$",
     "cpp": rf"^\s*(?:template\s*{_GENERIC}\s*)?(?:class|struct|union|enum)\s+" + _NAME + r"[^;()]*(?:\{.*)?$",
 }
+# Python: a line that ends with a name, and a text where the next line starts with a bracket.
+LAST_NAME = rf"(?<!{_PART}){_no_word('py')}{_NAME}[ \t]*+\\?$"
+CROSSING = rf"{_PART}[ \t]*+\\?(?:{LINE_BREAK})\s*+\("
 # Suffix -> pattern of a call, name in group 1, keywords refused.
 CALL_RULES = {suffix: _call(suffix) for suffix in KEYWORDS}
 # C and C++: a line that is only a type, and a line that starts with the name the type belongs to.
@@ -121,9 +124,16 @@ _C_CHAR = r"(?:(?<=u8)|(?<![0-9a-fA-F]))" + _quoted("'")
 _CHAR = r"'(?:[^'\\\n\r]|\\[^\n\r]{1,10}?)'"
 _CPP_RAW = rf'(?:(?<=u8|[uUL])|(?<!{_PART}))R"([^()\\\s]{{0,16}})\([\s\S]*?(?:\)\1"|\z)'
 _RS_RAW = rf'(?:(?<=[bc])|(?<!{_PART}))r(#*)"[\s\S]*?(?:"\1|\z)'
+_PY_LITERALS = "|".join([_tripled("'"), _tripled('"'), _quoted("'"), _quoted('"')])
+# Lines inside a literal stand deeper than any block, so that the line behind it still ends its blocks.
+_DEEP = " " * 1024
+# A Python literal with replacement fields, and one field of it: format specs may hold fields too.
+_FORMATTED = "(?:[fF][rR]?|[rR][fF])"
+_FIELD = r"\{((?:[^{}]|\{[^{}]*+\})*+)\}"
+_PY_RUN = f"(?:[^'\"#fFrR]++|[fFrR](?!['\"]|[fFrR]['\"]))++"
 # Suffix -> pattern of the next comment, literal or plain run; the matches make up the whole text.
 LEXEMES = {
-    "py": "|".join([_tripled("'"), _tripled('"'), _quoted("'"), _quoted('"'), r"#[^\n\r]*+", "[^'\"#]++", r"[\s\S]"]),
+    "py": "|".join([f"(?<!{_PART}){_FORMATTED}(?:{_PY_LITERALS})", _PY_LITERALS, r"#[^\n\r]*+", _PY_RUN, r"[\s\S]"]),
     "c": "|".join([_BLOCK, _LONG_LINE, _quoted('"'), _C_CHAR, "[^/\"']++", r"[\s\S]"]),
     "cpp": "|".join([_BLOCK, _LONG_LINE, _CPP_RAW, _quoted('"'), _C_CHAR, "(?:[^/\"'R]++|R(?!\"))++", r"[\s\S]"]),
     "go": "|".join([_BLOCK, _LINE, r"`[^`]*+(?:`|\z)", _quoted('"'), _CHAR, "[^/\"'`]++", r"[\s\S]"]),
@@ -142,17 +152,37 @@ def by_suffix(suffix: Column, table: dict, build) -> Column:
     return out
 
 
-def is_source(path: Column) -> Column:
-    return path.rlike(r"\.(?:" + "|".join(STYLES) + r")$")
+def is_source(path: Column, style: str | None = None) -> Column:
+    suffixes = [s for s in STYLES if style in (None, STYLES[s])]
+    return path.rlike(r"\.(?:" + "|".join(suffixes) + r")$")
 
 
 def block_style(suffix: Column) -> Column:
     return by_suffix(suffix, STYLES, F.lit)
 
 
+def _fields_of(piece: Column) -> Column:
+    """``""`` and the replacement fields of a formatted literal, each on its line; inner literals taken out.
+
+    Fields over several lines are not seen.
+    """
+    lines = F.split(F.regexp_replace(piece, r"\{\{", ""), LINE_BREAK, -1)
+    breaks = F.regexp_extract_all(piece, F.lit(LINE_BREAK), F.lit(0))
+
+    def shown(line: Column, i: Column) -> Column:
+        fields = F.array_join(F.regexp_extract_all(line, F.lit(_FIELD), F.lit(1)), " ")
+        bare = F.regexp_replace(fields, "'[^']*+'|\"[^\"]*+\"", '""')
+        inside = F.when(bare != "", _DEEP + CARRIED)
+        carried = F.when(i == 0, "").when(i == F.size(lines) - 1, CARRIED).otherwise(F.coalesce(inside, F.lit("")))
+        return F.concat(F.coalesce(F.get(breaks, i - 1), F.lit("")), carried, F.when(bare != "", F.concat(F.lit(" "), bare)).otherwise(""))
+
+    return F.concat(F.lit('""'), F.array_join(F.transform(lines, shown), ""))
+
+
 def bare_text(text: Column, suffix: Column) -> Column:
     """The text with a blank for each comment and ``""`` for each literal; all line breaks stay.
 
+    Of Python's formatted literals the replacement fields stay too.
     The text is cut into comments, literals and plain runs from its start on, so a mark inside
     another literal or comment starts nothing. Texts without any such mark are passed on as they are.
     """
@@ -165,8 +195,10 @@ def bare_text(text: Column, suffix: Column) -> Column:
         literal = (F.length(piece) > 1) & piece.rlike(r"""^(?:["'`]|R"|r#*")""")
         breaks = F.regexp_replace(piece, f"[^{SINGLE_BREAKS}]+", "")
         carried = F.when((suffix == "py") & (breaks != ""), CARRIED).otherwise("")
+        formatted = (suffix == "py") & piece.rlike(f"^{_FORMATTED}['\"]")
         return (
             F.when(comment, F.concat(F.lit(" "), breaks))
+            .when(formatted, _fields_of(piece))
             .when(literal, F.concat(F.lit('""'), breaks, carried))
             .otherwise(piece)
         )
@@ -194,6 +226,27 @@ def call_names(bare: Column, rule: Column) -> Column:
     return F.when(F.instr(bare, "(") > 0, F.regexp_extract_all(bare, rule, 1))
 
 
+def calls_below(body: Column) -> Column:
+    """Indices of the lines whose last name is called by the bracket that starts the next line.
+
+    ``body`` is the array of a Python text's non-blank lines; the bracket goes on with the statement
+    inside other brackets or behind a backslash.
+    """
+
+    def step(at: Column, i: Column) -> Column:
+        line, above = F.get(body, i)["rest"], F.get(body, i - 1)["rest"]
+        goes_on = (at["depth"] > 0) | F.endswith(above, F.lit("\\"))
+        hit = F.startswith(line, F.lit("(")) & goes_on & above.rlike(LAST_NAME)
+        opened = F.length(F.translate(line, ")]}", "")) - F.length(F.translate(line, "([{", ""))
+        return F.struct(
+            F.greatest(at["depth"] + opened, F.lit(0)).alias("depth"),
+            F.when(hit, F.concat(at["lines"], F.array(i - 1))).otherwise(at["lines"]).alias("lines"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("lines"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(body) - 1), start, step, lambda at: at["lines"])
+
+
 def braces_of(bare: Column) -> Column:
     """Only the braces of the line."""
     return F.when(bare.rlike("[{}]"), F.regexp_replace(bare, r"[^{}]+", "")).otherwise(F.lit(""))

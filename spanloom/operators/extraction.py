@@ -1,9 +1,10 @@
-"""Definitions, their line ranges, nesting and calls, by line rules.
+"""Definitions, their line ranges, nesting and calls, by rules on lines and tokens.
 
-``code_lines`` turns files into one slim row per non-blank line with everything the later steps
-need (indent, neighbours, definition, calls, braces) and without the text. The step is map-only:
-neighbours are read from the file's own line array. ``code_lines_of`` gives the same rows for a
-bare ``lines`` table, except that a comment or literal there ends with its line.
+``code_lines`` turns files into slim rows with everything the later steps need (indent, neighbours,
+definition, calls) and without the text. The step is map-only: neighbours of a line come from the file's
+own line array, brackets of the brace languages from its tokens. ``code_lines_of`` gives line rows for
+a bare ``lines`` table; there a comment or literal ends with its line, and brace languages have
+line rules only.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import languages as lang
 from ..functions import text as tx
+from ..functions import tokens as tk
 from ..plans.lookup import join_lookup
 from ..plans.ordered import following, following_by_size, preceding, running_sum
 from ..plans.spans import join_spans
@@ -24,11 +26,45 @@ _CLOSERS = ")]}" + lang.CARRIED
 
 
 def code_lines(files: DataFrame) -> DataFrame:
-    """``files`` -> code rows, one per non-blank line of a file with a known suffix."""
+    """``files`` -> code rows of the files with a known suffix; map-only.
+
+    Indented languages give one row per non-blank line. Brace languages give a row for each definition
+    with a body, its last line known, and one for each line with calls (style ``token``).
+    """
+    return _indented_lines(files).unionByName(_token_lines(files))
+
+
+def _token_lines(files: DataFrame) -> DataFrame:
+    suffix = tx.suffix_of(F.col("path"))
+    pattern = lang.by_suffix(F.col("suffix"), tk.TOKENS, F.lit)
+    bare = files.where(lang.is_source(F.col("path"), "brace")).select(
+        "path", suffix.alias("suffix"), lang.bare_text(F.col("content"), suffix).alias("content")
+    )
+    tokens = bare.select("path", "suffix", F.regexp_extract_all("content", pattern, F.lit(0)).alias("tokens"))
+    none = F.lit(None)
+    return tokens.mapInArrow(tk.token_rows, tk.SCHEMA).select(
+        "path",
+        "line_no",
+        F.lit("token").alias("style"),
+        *[none.cast("int").alias(c) for c in ("indent", "prev_line")],
+        none.cast("array<int>").alias("closes"),
+        *[none.cast("int").alias(c) for c in ("next_indent", "last_line")],
+        "kind",
+        "name",
+        "calls",
+        F.col("calls").isNotNull().alias("has_bracket"),
+        *[none.cast("int").alias(c) for c in ("net", "dip")],
+        none.cast("string").alias("mark"),
+        "end_line",
+    )
+
+
+def _indented_lines(files: DataFrame) -> DataFrame:
     path = F.col("path")
-    known = files.where(lang.is_source(path)).select(
+    known = files.where(lang.is_source(path, "indent")).select(
         "path", lang.bare_text(F.col("content"), tx.suffix_of(path)).alias("content")
     )
+    known = known.withColumn("crossing", F.col("content").rlike(lang.CROSSING))
     stripped = F.transform(
         "body",
         lambda x, i: F.struct(
@@ -38,7 +74,8 @@ def code_lines(files: DataFrame) -> DataFrame:
     body = F.col("body")
     filled = (
         tx.with_line_array(known)
-        .select("path", F.filter(stripped, lambda x: x["rest"] != "").alias("body"))
+        .select("path", "crossing", F.filter(stripped, lambda x: x["rest"] != "").alias("body"))
+        .withColumn("joined", F.when(F.col("crossing"), lang.calls_below(body)))
         .withColumn("indents", F.array_distinct(F.transform(body, _indent)))
     )
 
@@ -55,6 +92,7 @@ def code_lines(files: DataFrame) -> DataFrame:
             F.when(_dedents(x["rest"], _indent(x), above), closes).alias("closes"),
             _indent(ahead).alias("next_indent"),
             F.element_at(body, -1)["line_no"].alias("last_line"),
+            F.coalesce(F.array_contains("joined", i), F.lit(False)).alias("called_below"),
         )
 
     rows = filled.select("path", F.explode(F.transform(body, with_neighbours)).alias("row"))
@@ -91,6 +129,7 @@ def code_lines_of(lines: DataFrame) -> DataFrame:
         ).alias("closes"),
         F.col("_ahead.indent").alias("next_indent"),
         "last_line",
+        F.lit(False).alias("called_below"),
     )
     return _features(rows)
 
@@ -132,6 +171,8 @@ def _features(rows: DataFrame) -> DataFrame:
         & bare.rlike(lang.NAME_LINE)
         & F.col("above").rlike(lang.TYPE_LINE)
     )
+    last = F.regexp_extract(bare, lang.LAST_NAME, 1)
+    below = F.concat(F.coalesce("called", F.array().cast("array<string>")), F.array(last))
     named = (
         rows.withColumn("suffix", tx.suffix_of(F.col("path")))
         .withColumn("head", F.when(typed_above, F.concat_ws(" ", "above", bare)).otherwise(bare))
@@ -144,6 +185,7 @@ def _features(rows: DataFrame) -> DataFrame:
             ).otherwise(F.lit("")),
         )
         .withColumn("called", lang.call_names(bare, lang.rule_for(suffix, lang.CALL_RULES)))
+        .withColumn("called", F.when(F.col("called_below"), below).otherwise(F.col("called")))
         .withColumn("style", lang.block_style(suffix))
         .withColumn("braces", F.when(F.col("style") == "brace", lang.braces_of(bare)))
     )
@@ -162,10 +204,11 @@ def _features(rows: DataFrame) -> DataFrame:
         F.when(own_first, F.slice("called", 2, F.size("called")))
         .otherwise(F.col("called"))
         .alias("calls"),
-        (F.instr("rest", "(") > 0).alias("has_bracket"),
+        ((F.instr("rest", "(") > 0) | F.col("called_below")).alias("has_bracket"),
         lang.depth_change(F.col("braces")).alias("net"),
         lang.depth_dip(F.col("braces")).alias("dip"),
         F.when(F.col("style") == "brace", lang.first_mark(bare)).alias("mark"),
+        F.lit(None).cast("int").alias("end_line"),
     )
 
 
@@ -286,11 +329,26 @@ def span_ends(
     """Definitions with their last line: ``found`` rows without parents.
 
     ``styles`` names the block styles to look for; leave one out when the corpus has none of it.
+    Brace languages know the last line from their tokens; rows of ``code_lines_of`` look for it.
     ``stored`` says that ``code`` is a written table, which makes a second read of it cheap.
     """
-    parts = {"indent": _indent_events, "brace": _brace_events}
-    streams = [parts[s](code) for s in styles]
-    events = streams[0] if len(streams) == 1 else streams[0].unionByName(streams[1])
+    if "brace" not in styles:
+        return _looked_up(_indent_events(code), stored)
+    read = code.where((F.col("style") == "token") & F.col("kind").isNotNull()).select(
+        "path",
+        F.col("kind").alias("target_id"),
+        "name",
+        F.col("line_no").alias("start_line"),
+        "end_line",
+        F.lit(None).cast("string").alias("parent_id"),
+    )
+    events = _brace_events(code)
+    if "indent" in styles:
+        events = _indent_events(code).unionByName(events)
+    return _looked_up(events, stored).unionByName(read)
+
+
+def _looked_up(events: DataFrame, stored: bool) -> DataFrame:
     look_up = (events, ["path", "level"], "at", F.col("closed_at"), "end_found")
     closed = following_by_size(*look_up, last="last_line") if stored else following(*look_up)
     return closed.where(F.col("kind").isNotNull()).select(
