@@ -62,6 +62,7 @@ def failures(docs: DataFrame) -> DataFrame:
     scanned = cut(read.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), *text_failures(F.col("text"))), "failures")
     # only texts of several ids matter to E; a group of copies reaches the shuffle once a task
     first = scanned.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    first = cut(first, "copied")  # both sides of the joins are shuffled anew, so that Spark can split a group of copies
     # joined on both, so that the copies of one text are spread by their ids
     lowest = first.select(F.col("digest").alias("_d"), F.col("least").alias("_i"), F.lit(True).alias("_lowest"))
     copied = first.select("digest", F.lit(True).alias("_copied"))
