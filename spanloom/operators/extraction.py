@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import languages as lang
@@ -19,6 +19,7 @@ from ..functions import text as tx
 from ..functions import tokens as tk
 from ..plans.lookup import join_lookup
 from ..plans.ordered import following, following_by_size, preceding, running_sum
+from ..plans.ranked import numbered
 from ..plans.spans import join_spans
 
 # A line that starts with one of these continues the statement above it.
@@ -385,13 +386,13 @@ def nest(parents: DataFrame, children: DataFrame) -> DataFrame:
 def nested_view(found: DataFrame, part_children: int = 4096) -> DataFrame:
     """Children per parent as arrays: ``(path, parent_id, part, children)``.
 
-    An array holds at most ``part_children`` children; longer lists go on in further parts.
+    An array holds at most ``part_children`` children; longer lists go on in further parts. Children
+    are numbered by ranges, so a parent with most of them is spread over many tasks.
     """
-    order = Window.partitionBy("path", "parent_id").orderBy("start_line", "end_line", "target_id", "name")
-    rows = found.where(F.col("parent_id").isNotNull()).withColumn(
-        "part", F.floor((F.row_number().over(order) - 1) / F.lit(part_children)).cast("int")
-    )
-    child = F.struct("start_line", "end_line", "target_id", "name")
+    place = ["start_line", "end_line", "target_id", "name"]
+    rows = numbered(found.where(F.col("parent_id").isNotNull()).select("path", "parent_id", *place), ["path", "parent_id"], place)
+    rows = rows.withColumn("part", F.floor((F.col("place") - 1) / F.lit(part_children)).cast("int"))
+    child = F.struct(*place)
     return rows.groupBy("path", "parent_id", "part").agg(
         F.array_sort(F.collect_list(child)).alias("children")
     )

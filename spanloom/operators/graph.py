@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..plans.lookup import join_lookup
+from ..plans.ranked import numbered
 
 LIST_CALLS = 4096
 
@@ -109,13 +110,13 @@ def dot_id_collisions(nodes: DataFrame) -> DataFrame:
 def adjacency(edges: DataFrame, list_calls: int = LIST_CALLS) -> DataFrame:
     """Callees per caller in call order: ``(caller_id, part, callees)``.
 
-    A list holds at most ``list_calls`` calls; longer ones go on in further parts.
+    A list holds at most ``list_calls`` calls; longer ones go on in further parts. Calls are numbered
+    by ranges, so a caller with most of the edges is spread over many tasks.
     """
-    order = Window.partitionBy("caller_id").orderBy("line_start", "callee_id")
     call = F.struct("place", "callee_id")
     listed = F.transform(F.array_sort(F.collect_list(call)), lambda x: x["callee_id"])
     return (
-        edges.withColumn("place", F.row_number().over(order))
+        numbered(edges.select("caller_id", "line_start", "callee_id"), ["caller_id"], ["line_start", "callee_id"])
         .groupBy("caller_id", F.floor((F.col("place") - 1) / F.lit(list_calls)).cast("int").alias("part"))
         .agg(listed.alias("callees"))
     )

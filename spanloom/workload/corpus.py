@@ -32,6 +32,11 @@ def steps_of(price):
     return (F.floor(price / 50000) + 1).cast("int")
 
 
+def name_part(value):
+    """A value as part of a name: every other sign becomes ``_``."""
+    return F.regexp_replace(value, "[^A-Za-z0-9]", "_")
+
+
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Python file per order: a class with methods, then a top-level function."""
     key = F.col("o_orderkey").cast("string")
@@ -40,7 +45,7 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(
         key.alias("k"),
         F.col("o_custkey").cast("string").alias("c"),
-        F.left("o_orderpriority", F.lit(1)).alias("p"),
+        name_part(F.col("o_orderpriority")).alias("p"),
         steps_of(F.col("o_totalprice")).alias("m"),
     )
     method = lambda j: F.concat(
@@ -88,7 +93,7 @@ def library_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     prio = (
         table(spark, sf_dir, "orders")
-        .select(F.left("o_orderpriority", F.lit(1)).alias("p"))
+        .select(name_part(F.col("o_orderpriority")).alias("p"))
         .distinct()
         .select(
             F.concat(F.lit("src/lib/prio_"), F.col("p"), F.lit(".py")).alias("path"),
@@ -108,3 +113,83 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         F.col("text").alias("content"),
     )
+
+
+# One text a language and customer; {k} customer, {n} nation, {s} segment, {steps} one call a line.
+BRACE_TEXTS = {
+    "c": """#include "shared.h"
+static inline __attribute__((always_inline)) int fast_{k}(int a)
+{
+    return nation_{n}
+        (a);
+}
+int (*pick_{k}(void))(int) {
+    return seg_{s}("fake_{k}(1)");   /* not_{k}(2) */
+}
+#ifdef WIDE
+int sum_{k}(int a, int b) {
+#else
+int sum_{k}(int a) {
+#endif
+    fast_{k}(a);
+{steps}}
+int last_{k}(void) { return sum_{k}(1); }
+""",
+    "cpp": """template <class T>
+class Box_{k} final : public Base<T> {
+public:
+    Box_{k}(int a) : x(a), y{nation_{n}(a)} {}
+    [[nodiscard]] int marked_{k}() { return seg_{s}<int>(1); }
+    Box_{k} operator+(const Box_{k} &o) const { return merge_{k}(o); }
+    int operator()(int a) {
+{steps}    }
+};
+int Box_{k}::total_{k}() const
+{
+    return x && deep_{k}
+        (2);
+}
+""",
+    "go": """package p
+type (
+    Box_{k} struct {
+        x int
+    }
+    Doer_{k} interface{ Do(n int) }
+)
+func Map_{k}[K any](k K) (
+    out K,
+) {
+    a := Gen_{n}[int](k)
+    b := `fake_{k}(1)`
+{steps}    return a
+}
+func (t *Box_{k}) Get_{k}(m map[string]struct{}) interface{} { return seg_{s}(m) }
+""",
+    "rs": """#[derive(Debug)]
+pub struct Box_{k}<T: Fn(u8) -> u8> { x: T }
+impl<T: Fn(u8) -> u8> fmt::Display for Box_{k}<T> {
+    fn fmt_{k}<'a>(&'a self) -> [u8; 2]
+    where
+        T: FnOnce(u8) -> u8,
+    {
+        nation_{n}
+            ::<u8>(1);
+{steps}        seg_{s}(r#"fake_{k}(" }"#)
+    }
+}
+pub async fn top_{k}() { /* } */ last_{k}(1) }
+""",
+}
+
+
+def brace_files(spark: SparkSession, sf_dir: str, suffix: str) -> DataFrame:
+    """One file of a brace language per customer, with one to four calls by step."""
+    key = F.col("c_custkey").cast("string")
+    lines = F.transform(F.sequence(F.lit(1), (F.col("c_custkey") % 4 + 1).cast("int")), lambda j: F.concat(F.lit("        step_"), j.cast("string"), F.lit("(a);\n")))
+    content = F.lit(BRACE_TEXTS[suffix])
+    values = {"k": key, "n": F.col("c_nationkey").cast("string"), "s": name_part(F.col("c_mktsegment")), "steps": F.array_join(lines, "")}
+    for name, value in values.items():
+        content = F.replace(content, F.lit(f"{{{name}}}"), value)
+    customers = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"))
+    return customers.select(F.concat(F.lit(f"src/{suffix}/c"), key, F.lit(f".{suffix}")).alias("path"), content.alias("content"))

@@ -27,7 +27,7 @@ def _text(value: str) -> str:
 # ---- the code corpus, from orders and customer ----
 
 CODE = """
-o AS (SELECT o_orderkey AS k, o_custkey AS c, substr(o_orderpriority, 1, 1) AS p,
+o AS (SELECT o_orderkey AS k, o_custkey AS c, regexp_replace(o_orderpriority, '[^A-Za-z0-9]', '_', 'g') AS p,
   CAST(floor(o_totalprice / 50000) AS INTEGER) + 1 AS m, 'src/orders/o' || o_orderkey || '.py' AS path FROM orders),
 s AS (SELECT k, c, p, m, path, unnest(generate_series(1, m)) AS j FROM o),
 lib AS (SELECT c_custkey AS k, c_nationkey AS n, 'src/lib/cust_' || (c_custkey // 64) || '.py' AS path,
@@ -410,3 +410,51 @@ ORACLES: dict[str, str] = {
           FROM edge JOIN (SELECT *, {_NODE} AS id FROM fn) f ON f.id = caller_id"""
     ),
 }
+
+
+# ---- the brace languages, from customer: definitions (kind, name, first and last line), calls (owner, its line, callee, line) ----
+
+_BRACE = {
+    "c": (
+        [("function", "'fast_' || k", "2", "6"), ("function", "'pick_' || k", "7", "9"), ("function", "'sum_' || k", "11", "16 + m"),
+         ("function", "'sum_' || k", "13", "16 + m"), ("function", "'last_' || k", "17 + m", "17 + m")],
+        [("'fast_' || k", "2", "'nation_' || n", "4"), ("'pick_' || k", "7", "'seg_' || s", "8"), ("'sum_' || k", "11", "'fast_' || k", "15"),
+         ("'sum_' || k", "13", "'fast_' || k", "15"), ("'sum_' || k", "11", "STEP", "15 + j"), ("'sum_' || k", "13", "STEP", "15 + j"),
+         ("'last_' || k", "17 + m", "'sum_' || k", "17 + m")],
+    ),
+    "cpp": (
+        [("class", "'Box_' || k", "2", "9 + m"), ("function", "'Box_' || k", "4", "4"), ("function", "'marked_' || k", "5", "5"),
+         ("function", "'operator+'", "6", "6"), ("function", "'operator()'", "7", "8 + m"), ("function", "'total_' || k", "10 + m", "14 + m")],
+        [("'Box_' || k", "4", "'nation_' || n", "4"), ("'marked_' || k", "5", "'seg_' || s", "5"), ("'operator+'", "6", "'merge_' || k", "6"),
+         ("'operator()'", "7", "STEP", "7 + j"), ("'total_' || k", "10 + m", "'deep_' || k", "12 + m")],
+    ),
+    "go": (
+        [("class", "'Box_' || k", "3", "5"), ("class", "'Doer_' || k", "6", "6"), ("function", "'Map_' || k", "8", "14 + m"),
+         ("function", "'Get_' || k", "15 + m", "15 + m")],
+        [("'Map_' || k", "8", "'Gen_' || n", "11"), ("'Map_' || k", "8", "STEP", "12 + j"), ("'Get_' || k", "15 + m", "'seg_' || s", "15 + m")],
+    ),
+    "rs": (
+        [("class", "'Box_' || k", "2", "2"), ("class", "'Box_' || k", "3", "12 + m"), ("function", "'fmt_' || k", "4", "11 + m"),
+         ("function", "'top_' || k", "13 + m", "13 + m")],
+        [("'fmt_' || k", "4", "'nation_' || n", "8"), ("'fmt_' || k", "4", "STEP", "9 + j"), ("'fmt_' || k", "4", "'seg_' || s", "10 + m"),
+         ("'top_' || k", "13 + m", "'last_' || k", "13 + m")],
+    ),
+}
+
+
+def _brace(suffix: str) -> str:
+    found, calls = _BRACE[suffix]
+    parts = [
+        f"SELECT path, '{kind}' AS kind, {name} AS name, '' AS owner, ({a})::INTEGER AS start_line, ({b})::INTEGER AS end_line FROM b"
+        for kind, name, a, b in found
+    ]
+    for owner, at, callee, line in calls:
+        source = "(SELECT *, unnest(generate_series(1, m)) AS j FROM b)" if callee == "STEP" else "b"
+        name = "'step_' || j" if callee == "STEP" else callee
+        parts.append(f"SELECT path, 'call', {name}, path || ':' || ({at}) || ':' || {owner}, ({line})::INTEGER, ({line})::INTEGER FROM {source}")
+    head = f"""b AS (SELECT c_custkey AS k, c_nationkey AS n, regexp_replace(c_mktsegment, '[^A-Za-z0-9]', '_', 'g') AS s,
+    (c_custkey % 4 + 1)::INTEGER AS m, 'src/{suffix}/c' || c_custkey || '.{suffix}' AS path FROM customer)"""
+    return _q([head], " UNION ALL ".join(parts))
+
+
+ORACLES |= {f"code_{suffix}": _brace(suffix) for suffix in _BRACE}

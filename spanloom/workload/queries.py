@@ -13,7 +13,7 @@ from ..operators import graph as gr
 from ..operators import lines as ln
 from ..operators import scoring as sc
 from ..operators import windows as wn
-from ..plans.callgraph import CallGraph, graph_from, most_called
+from ..plans.callgraph import CallGraph, call_graph, graph_from, most_called
 from ..schema import CLASS, FUNCTION, RECORD_CALL, RETRY_WITH, found_action
 from ..session import cut, new_folder
 from ..sinks import graph as sk
@@ -122,6 +122,29 @@ def find_calls(spark, sf_dir):
     return ex.find_calls(code_of(spark, sf_dir), _functions(spark, sf_dir))
 
 
+def _brace_query(suffix: str):
+    def run(spark, sf_dir):
+        """Definitions and calls of one brace language, over a file per customer."""
+        graph = call_graph(corpus.brace_files(spark, sf_dir, suffix), ("brace",))
+        found = graph.found.select("path", F.col("target_id").alias("kind"), "name", F.lit("").alias("owner"), "start_line", "end_line")
+        calls = graph.calls.select(
+            F.col("file").alias("path"),
+            F.lit("call").alias("kind"),
+            F.col("callee_name").alias("name"),
+            F.col("caller_id").alias("owner"),
+            F.col("line_no").alias("start_line"),
+            F.col("line_no").alias("end_line"),
+        )
+        return found.unionByName(calls)
+
+    run.__name__ = f"code_{suffix}"
+    return query(run)
+
+
+for _suffix in corpus.BRACE_TEXTS:
+    _brace_query(_suffix)
+
+
 @query
 def resolve_callees(spark, sf_dir):
     graph = graph_from(code_of(spark, sf_dir), found_of(spark, sf_dir))
@@ -453,7 +476,7 @@ def _golden_texts(spark, sf_dir):
         corpus.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     ).select(
         F.col("o_orderkey").alias("k"),
-        F.left("o_orderpriority", F.lit(1)).alias("p"),
+        corpus.name_part(F.col("o_orderpriority")).alias("p"),
         corpus.steps_of(F.col("o_totalprice")).alias("m"),
         F.concat(F.lit("src/orders/o"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"),
     )

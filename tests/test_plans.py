@@ -4,11 +4,13 @@ import contextlib
 import io
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import graph as gr
 from spanloom.operators import lines as ln
 from spanloom.operators import windows as wn
+from spanloom.plans import ranked
 from spanloom.sources import files as sf
 from spanloom.workload import corpus, queries as registered
 
@@ -73,3 +75,36 @@ def test_no_cross_join_in_any_query(spark):
 
 def test_corpus_files_come_row_by_row(spark):
     assert "Aggregate" not in plan(corpus.order_files(spark, SF))
+
+
+def test_hot_caller_is_spread(spark):
+    """One caller makes a third of all calls: its edges lie in many ranges, the lists stay whole and in order."""
+    caller = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("c"), F.col("id") % 2000))
+    edges = spark.range(0, 60000, 1, 8).select(
+        caller.alias("caller_id"), F.sha2(F.col("id").cast("string"), 256).alias("callee_id"), (F.hash("id") % 500).alias("line_start")
+    )
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        parts = ranked.dealt(edges, ["caller_id"], ["line_start", "callee_id"]).groupBy("_part").count().collect()
+        assert len(parts) > 20 and max(r["count"] for r in parts) < 2.5 * 60000 / 24
+        lists = gr.adjacency(edges, 1000)
+        hot = sorted((r.part, list(r.callees)) for r in lists.where("caller_id = 'hot'").collect())
+        want = [r.callee_id for r in edges.where("caller_id = 'hot'").orderBy("line_start", "callee_id").collect()]
+        assert [c for _, part in hot for c in part] == want and [p for p, _ in hot] == list(range(20))
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+
+
+def test_numbers_equal_a_window(spark):
+    """Null and hot keys, ties and equal rows."""
+    rows = spark.range(0, 5000, 1, 6).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("k"), (F.hash("id") % 20).alias("o"), (F.col("id") % 900).alias("v")
+    )
+    order = Window.partitionBy("k").orderBy("o", "v")
+    want = rows.withColumn("place", F.row_number().over(order).cast("long"))
+    got = ranked.numbered(rows, ["k"], ["o", "v"])
+    assert got.count() == 5000 and got.exceptAll(want.select(*got.columns)).count() == 0
+    assert ranked.numbered(rows.limit(0), ["k"], ["o"]).count() == 0
