@@ -5,12 +5,12 @@ For each of HASHES functions the two least labelled shingles are taken in the or
 texts agree in such a sketch as they agree in content and order. Two sketches make a band.
 
 Texts that are equal in their words are one node first, so copies cost nothing later. In each bucket
-of a band the member with most company is the centre and every other member is paired with it; while
-a bucket is not yet one class, members that have not been a centre become one, twice as many a round.
-A bucket of one class thus needs about as many pairs as members; in one that stays divided, every pair of
-members of different classes is compared. A pair is a link if at least LEAST of
-the two texts' distinct shingles are shared and a banded alignment of the labelled shingles (the
-longest chain of matches near the diagonal) shows that they mostly follow in the same order.
+of a band the member with most company is the centre and every other member is paired with it, which
+takes as many pairs as members. Where that leaves several classes in a bucket, the pairs of two classes are
+compared too, but for those that provably can't reach LEAST (see ``_candidates``): no pair that shares a
+bucket is left out. A pair is a link if at least LEAST of the two texts' distinct shingles are shared
+and a banded alignment of the labelled shingles (the longest chain of matches near the diagonal) shows that
+at least LEAST_ALIGNED of them follow in the same order. Both are worked out on 32-bit hashes of the words.
 
 Defined cases: null texts are empty; texts without words are equal to each other; texts of fewer
 words than a shingle have one shingle; null ids come last when a class takes its least id; of rows
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -38,8 +38,6 @@ LEAST = 0.8
 #: Least share of labelled shingles in one chain.
 LEAST_ALIGNED = 0.6
 HASHES, BAND = 32, 2
-#: Centres that a bucket gets in one round; there are as many rounds as it takes.
-MOST_CENTRES = 512
 _SEEDS = (np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _WORDS_HELD = 400_000
@@ -210,8 +208,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scanned rows with their node, ``node, label`` of linked nodes, and all links."""
-    spark: SparkSession = docs.sparkSession
+    """Scanned rows with their node, ``node, label`` of linked nodes, and the links found."""
     rows = _scan(docs)
     equal = rows.groupBy("t1", "t2").agg(F.min("row").alias("node"))
     nodes = cut(rows.select("row", "doc_id", *KEYS, "t1", "t2").join(equal, ["t1", "t2"]).drop("t1", "t2"), "nodes")
@@ -224,44 +221,74 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     wanted = nodes.filter("row = node").select(*KEYS, "node").join(members.select("node").distinct(), "node", "left_semi")
     words = _word_rows(docs, wanted)
 
+    # each bucket's member with most company is compared with all others
+    centres = members.groupBy("bucket").agg(F.max(F.struct("company", -F.col("node"))).alias("most"))
+    centres = cut(centres.select("bucket", (-F.col("most.col2")).alias("centre")), "centres")
+    paired = members.join(centres, "bucket").filter("node <> centre")
+    links = _links(paired.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), words)
     labels = members.select("node", F.col("node").alias("label")).distinct()
-    links = spark.createDataFrame([], "a long, b long, jaccard double, aligned double")
-    done = spark.createDataFrame([], "a long, b long")
-    used, take = spark.createDataFrame([], "bucket long, node long"), 1
-    while True:
-        # buckets of several classes: further centres come from the members that have not been one
-        current = _labelled_members(members, labels)
-        several = current.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("bucket")
-        open_ = cut(current.join(several, "bucket"), "open")
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("company"), "node"))
-        ranked = open_.join(used, ["bucket", "node"], "left_anti").withColumn("place", place).filter(F.col("place") <= take)
-        centres = cut(ranked.select("bucket", F.col("node").alias("centre"), F.col("label").alias("own")), "centres")
-        if not centres.limit(1).count():
-            return nodes, labels, links
-        pairs = open_.join(centres, "bucket").filter("label <> own")
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        pairs = cut(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        used = used.unionByName(centres.select("bucket", F.col("centre").alias("node")))
-        done, take = done.unionByName(pairs), min(2 * take, MOST_CENTRES)
-        new = _links(pairs, words)
-        if not new.limit(1).count():
-            continue
-        links = links.unionByName(new)
-        named = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-        across = new.join(named, "a").join(named.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b")
-        joined = components(across).select(F.col("node").alias("label"), F.col("label").alias("to"))
-        labels = cut(labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-
-
-def _labelled_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "node").select("bucket", "node", "company", "label")
+    labels = _merged(labels, links)
+    # what is still divided: pairs of two classes that share a bucket and can reach LEAST
+    held = members.select("bucket", "node").join(labels, "node")
+    several = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+    divided = cut(held.join(several, "bucket").groupBy("node", "label").agg(F.collect_set("bucket").alias("buckets")), "divided")
+    more = _links(_candidates(divided, words), words)
+    return nodes, _merged(labels, more), links.unionByName(more)
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, label`` after the classes that ``links`` connect became one."""
+    named = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    across = links.select("a", "b").join(named, "a").join(named.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b")
+    across = cut(across.select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b"), "across")
+    joined = components(across).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return cut(labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def _candidates(divided: DataFrame, words: DataFrame) -> DataFrame:
+    """``a, b``: the pairs of two classes that share a bucket, but for those that can't reach LEAST.
+
+    The distinct shingles of a text are put in one order for all texts, rarest first. Two texts of
+    similarity LEAST share one of the first shingles of both: of the shorter text as many as it can
+    miss of a text of its own size, of the longer one as many as it can miss of one LEAST its size. What is left
+    behind that place bounds the overlap. So a passage that many texts share brings two of them together only
+    if little else is in the shorter one; the filter leaves out no pair of LEAST or more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = [np.unique(shingles(np.frombuffer(w, np.uint32).astype(np.uint64))).view(np.int64) for w in part.column(2).to_pylist()]
+                sizes = pa.array([len(x) for x in found], pa.int64())
+                yield pa.record_batch([*part.columns[:2], sizes, pa.array(found, pa.list_(pa.int64()))], ["node", "label", "n", "shingles"])
+
+    texts = words.join(divided.select("node", "label"), "node").select("node", "label", "words")
+    sets = cut(texts.mapInArrow(run, "node long, label long, n long, shingles array<long>"), "sets")
+    held = sets.select("node", F.explode("shingles").alias("shingle"))
+    shared = cut(held.groupBy("shingle").agg(F.count("*").alias("texts")).filter("texts > 1"), "shared")
+    # shingles of one text only come first in its order; they lead to no other text
+    ranked = held.join(shared, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("known"))
+    first = F.floor(F.col("n") * (1 - LEAST) + 1e-9) + 1 - (F.col("n") - F.size("known"))
+    placed = ranked.join(sets.select("node", "label", "n"), "node").withColumn("first", first).filter("first > 0")
+    entries = placed.select("node", "label", "n", F.posexplode(F.expr("slice(known, 1, cast(first AS int))")).alias("at", "entry"), F.size("known").alias("k"))
+    # what is left from this shingle on, itself included
+    entries = cut(entries.select("node", "label", "n", F.col("entry.shingle").alias("shingle"), (F.col("k") - F.col("at")).alias("left")), "entries")
+    need = lambda size: F.ceil(size * (LEAST / (1 + LEAST)) - 1e-9)
+    short = entries.filter(F.col("left") >= need(2 * F.col("n"))).select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "left")])
+    larger = (F.col("x_n") < F.col("n")) | ((F.col("x_n") == F.col("n")) & (F.col("x_node") < F.col("node")))
+    near = larger & (F.col("x_n") >= LEAST * F.col("n") - 1e-9) & (F.least("x_left", "left") >= need(F.col("x_n") + F.col("n")))
+    pairs = cut(entries.join(short, "shingle").filter(near & (F.col("label") != F.col("x_label"))).select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct(), "pairs")
+    at = divided.select("node", "buckets")
+    both = pairs.join(at.toDF("a", "of_a"), "a").join(at.toDF("b", "of_b"), "b")
+    return both.filter(F.arrays_overlap("of_a", "of_b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per input row: ``doc_id, class_id, class_size, n_links, kept``.
 
-    ``class_id`` is the least id of the class; ``n_links`` counts the verified links of the row's
-    text with other texts; ``kept`` marks the row that stays for its class.
+    ``class_id`` is the least id of the class; ``n_links`` counts the links that were found between the
+    row's text and others on the way to the classes, which need not be all; ``kept`` marks the row that
+    stays for its class.
     """
     nodes, labels, links = _classes(docs)
     placed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
