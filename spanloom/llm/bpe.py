@@ -20,12 +20,13 @@ import struct
 import tempfile
 from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import read_texts
@@ -211,18 +212,24 @@ class Lexicon:
         return self._ids[self._start[place] : self._start[place + 1]].tobytes()
 
 
+def library_merge(path: str) -> Callable[[bytes], list[int]]:
+    """Ids of one word as the library's own model merges it; for callers that only need the ids."""
+    model, letters = Tokenizer.from_file(path).model, {b: letter for letter, b in _byte_letters().items()}
+    return lambda word: [t.id for t in model.tokenize(word.decode("latin-1").translate(letters))]
+
+
 class Encoder(dict):
     """Ids of texts as bytes. The dictionary itself holds the words met last."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, merge: Callable[[bytes], list[int]] | None = None):
         super().__init__()
-        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.vocabulary, self.lexicon, self.merge = vocabulary, lexicon, merge or vocabulary.merge
 
     def __missing__(self, word: str) -> bytes:
         raw = word.encode()
         found = self.lexicon.find(raw) if self.lexicon else None
         if found is None:
-            found = array("I", self.vocabulary.merge(raw)).tobytes()
+            found = array("I", self.merge(raw)).tobytes()
         if len(self) >= HELD_WORDS:
             self.clear()
         if len(raw) <= 64:
@@ -243,15 +250,18 @@ class Encoder(dict):
         return b"".join(out)
 
 
-_ENCODERS: dict[tuple[str, bytes], Encoder] = {}
+_ENCODERS: dict[tuple[str, bytes, bool], Encoder] = {}
 
 
-def encoder_of(path: str, compiled: bytes = b"") -> Encoder:
-    """One encoder per Python worker, vocabulary and lexicon; later tasks use it again."""
-    key = (path, hashlib.sha256(compiled).digest())
+def encoder_of(path: str, compiled: bytes = b"", library: bool = False) -> Encoder:
+    """One encoder per Python worker, vocabulary and lexicon; later tasks use it again.
+
+    With ``library`` words are merged by the library's model instead of by the ranks here; the ids are the same.
+    """
+    key = (path, hashlib.sha256(compiled).digest(), library)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Vocabulary(path), Lexicon(compiled) if compiled else None)
+        _ENCODERS[key] = Encoder(Vocabulary(path), Lexicon(compiled) if compiled else None, library_merge(path) if library else None)
     return _ENCODERS[key]
 
 

@@ -60,7 +60,7 @@ def tokenised(docs: DataFrame, path: str, queues: list[str | None], source: str
     number = {s: i for i, s in enumerate(queues)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = encoder_of(path), TaskContext.get().partitionId()
+        encoder, part = encoder_of(path, library=True), TaskContext.get().partitionId()
         kind = "<u2" if max(len(encoder.vocabulary.bytes_of), end_id) < 1 << 16 else "<u4"
         so_far = [0] * (len(queues) + 1)
         for batch in batches:
