@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -128,6 +127,37 @@ def omission_runs(requests: DataFrame) -> DataFrame:
     )
 
 
+def omission_key(spec: Column, start: Column, end: Column) -> Column:
+    """One text for all specs that leave the same excerpt of ``start .. end``: ``2,2``, `` 2`` and ``2-2`` are ``2``.
+
+    Runs are merged and sorted, those outside the range left out; of one that reaches past the end,
+    which leaves no marker, only the lines inside and the first one behind count. Bad tokens have no part in it.
+    """
+    number = lambda t, pattern: F.call_function("regexp_extract", t, F.lit(pattern), F.lit(1)).try_cast("int")
+    tokens = F.filter(F.transform(F.split(spec, ","), F.trim), lambda t: t.rlike(r"^\+?\d+(?:\s*-\s*\d+)?$"))
+    ranges = F.transform(tokens, lambda t: F.struct(number(t, r"^\+?(\d+)").alias("low"), number(t, r"(\d+)$").alias("high")))
+    good = F.array_sort(F.filter(ranges, lambda r: r["low"] <= r["high"]))
+    done = F.array().cast("array<struct<low:int,high:int>>")
+
+    def joined(runs: Column, r: Column) -> Column:
+        last = F.element_at(runs, -1)
+        wider = F.concat(
+            F.slice(runs, 1, F.size(runs) - 1),
+            F.array(F.struct(last["low"].alias("low"), F.greatest(last["high"], r["high"]).alias("high"))),
+        )
+        return F.when((F.size(runs) > 0) & (r["low"] <= F.try_element_at(runs, F.lit(-1))["high"] + 1), wider).otherwise(
+            F.concat(runs, F.array(r))
+        )
+
+    def shown(r: Column) -> Column:
+        past = r["high"] > end
+        low, high = F.when(past, F.greatest(r["low"], start)).otherwise(r["low"]), F.when(past, end + 1).otherwise(r["high"])
+        return F.when(low == high, low.cast("string")).otherwise(F.concat_ws("-", low, high))
+
+    inside = F.filter(F.aggregate(good, done, joined), lambda r: (r["high"] >= start) & (r["low"] <= end))
+    return F.when(F.coalesce(spec, F.lit("")) == "", "").otherwise(F.array_join(F.transform(inside, shown), ","))
+
+
 def collapse_omissions(sliced: DataFrame, requests: DataFrame) -> DataFrame:
     """Take omitted lines out of a slice and put one marker where each run ends.
 
@@ -160,6 +190,66 @@ def collapse_omissions(sliced: DataFrame, requests: DataFrame) -> DataFrame:
     return kept.unionByName(markers)
 
 
+def _shown(text: Column, line_no: Column, numbered: bool) -> Column:
+    return F.concat(line_no.cast("string"), F.lit(": "), text) if numbered else text
+
+
+def window_excerpts(files: DataFrame, size: int, numbered: bool = True) -> DataFrame:
+    """Excerpts of every window of a grid of ``size`` lines: ``(path, n_lines, window_id, start_line, end_line, excerpt)``.
+
+    Cut from each file's own line array where the file is read; nothing is shuffled.
+    """
+    body, n = F.col("body"), F.size("body")
+
+    def window(w: Column) -> Column:
+        start, end = F.greatest(F.lit(1), w * size), F.least(n, w * size + size - 1)
+        lines = F.transform(F.slice(body, start, end - start + 1), lambda x, i: _shown(x, start + i, numbered))
+        return F.struct(w.alias("window_id"), start.alias("start_line"), end.alias("end_line"), F.array_join(lines, "\n").alias("excerpt"))
+
+    grid = F.sequence(F.lit(0), F.floor(n / F.lit(size)).cast("int"))
+    cut = tx.with_line_array(files.select("path", "content")).where(n > 0).select("path", n.alias("n_lines"), F.explode(F.transform(grid, window)).alias("w"))
+    return cut.select("path", "n_lines", "w.*").where(F.col("start_line") <= F.col("end_line"))
+
+
+def cut_excerpts(files: DataFrame, requests: DataFrame, numbered: bool = True, part_lines: int = PART_LINES) -> DataFrame:
+    """What ``render_excerpts(collapse_omissions(slice_lines(..)))`` gives, cut from each file's own line array.
+
+    Requests (numbers only) are gathered by path and block of lines and sent to the files, which are not
+    exploded into lines. On ``files`` written by ``keyed_store`` only the requests are shuffled.
+    """
+    readable = requests.where(F.col("error").isNull()) if "error" in requests.columns else requests
+    readable = readable.where(F.col("end") >= F.col("start"))
+    runs = omission_runs(readable).groupBy("request_id").agg(F.collect_list(F.struct("run_start", "run_end")).alias("runs"))
+    asked = readable.join(runs, "request_id", "left").select(
+        "path",
+        F.floor(F.col("start") / F.lit(16 * part_lines)).alias("block"),
+        F.struct("request_id", "start", "end", F.coalesce("runs", F.array().cast("array<struct<run_start:int,run_end:int>>")).alias("runs")).alias("ask"),
+    )
+    gathered = asked.groupBy("path", "block").agg(F.collect_list("ask").alias("asks")).drop("block")
+    body = F.col("body")
+
+    def line(ask: Column, text: Column, no: Column) -> Column:
+        inside = F.filter(ask["runs"], lambda r: (r["run_start"] <= no) & (no <= r["run_end"]))
+        run = F.get(inside, F.lit(0))
+        span = F.when(run["run_start"] == run["run_end"], no.cast("string")).otherwise(F.concat_ws("-", run["run_start"], run["run_end"]))
+        marker = F.when(run["run_end"] == no, F.concat(F.lit(MARKER[0]), span, F.lit(MARKER[1])))
+        return F.when(F.size(inside) == 0, _shown(text, no, numbered)).otherwise(marker)
+
+    def part(ask: Column, p: Column) -> Column:
+        start = ask["start"] + p * part_lines
+        lines = F.slice(body, start, F.least(ask["end"] - start + 1, F.lit(part_lines)))
+        left = F.filter(F.transform(lines, lambda x, i: line(ask, x, start + i)), lambda x: x.isNotNull())
+        excerpt = F.when(F.size(left) > 0, F.array_join(left, "\n"))
+        return F.struct(ask["request_id"].alias("request_id"), p.cast("int").alias("part"), excerpt.alias("excerpt"))
+
+    def parts(ask: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((ask["end"] - ask["start"]) / F.lit(part_lines)).cast("int")), lambda p: part(ask, p))
+
+    joined = tx.with_line_array(files.select("path", "content").join(gathered, "path"))
+    pieces = joined.select("path", F.explode(F.flatten(F.transform("asks", parts))).alias("piece"))
+    return pieces.select("piece.request_id", "path", "piece.part", "piece.excerpt").where(F.col("excerpt").isNotNull())
+
+
 def render_excerpts(sliced: DataFrame, numbered: bool = True, part_lines: int = PART_LINES) -> DataFrame:
     """One text per request and part: ``(request_id, path, part, excerpt)``.
 

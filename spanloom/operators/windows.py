@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import Action, Target
 from ..plans.lookup import join_lookup
+from ..schema import Action, Target
+from . import lines as ln
 
 # The first window has 30 lines, every later one 31; hence a grid of 31 from 0.
 GRID = 31
@@ -105,6 +106,23 @@ def window_requests(windows: DataFrame, targets: tuple[Target, ...] | list[Targe
     )
 
 
+def window_prompts(files: DataFrame, targets: tuple[Target, ...] | list[Target], actions) -> DataFrame:
+    """The prompts of the first round, for every window of every file and every target; map-only."""
+    ids = F.array(*[F.lit(t.target_id) for t in targets])
+    windows = ln.window_excerpts(files, GRID).withColumnRenamed("n_lines", "scope_lines")
+    asked = windows.select(
+        "path",
+        F.explode(ids).alias("target_id"),
+        F.col("start_line").alias("start"),
+        F.col("end_line").alias("end"),
+        F.lit("").alias("spec"),
+        F.lit(0).alias("part"),
+        "excerpt",
+        "scope_lines",
+    )
+    return build_prompts(asked.withColumn("request_id", request_id()), targets, actions)
+
+
 def request_id(nested: bool = False) -> Column:
     """Identity of a request: what is asked, where and without which lines."""
     scope = ["parent_id"] if nested else ["path"]
@@ -197,7 +215,7 @@ def next_round(
 ) -> DataFrame:
     """Follow-up requests from ``retry_with`` actions, never one that was asked before.
 
-    Of several retries in one answer (to a request, or to a ``part`` of it) the last one counts. Ranges are cut to the file. The
+    Specs that leave the same excerpt are one request. Of several retries in one answer (to a request, or to a ``part`` of it) the last one counts. Ranges are cut to the file. The
     columns of a request are ``(request_id, path, target_id, start, end, spec)`` and ``carry``.
     """
     keys = ["request_id", "part"] if "part" in actions.columns else ["request_id"]
@@ -225,6 +243,7 @@ def next_round(
             F.col("r.spec").alias("spec"),
         )
         .where(F.col("start") <= F.col("end"))
+        .withColumn("spec", ln.omission_key(F.col("spec"), F.col("start"), F.col("end")))
         .distinct()
         .withColumn("request_id", request_id("parent_id" in carry))
     )

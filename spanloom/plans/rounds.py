@@ -24,7 +24,7 @@ from ..operators import windows as wn
 from ..plans.callgraph import CallGraph
 from ..plans.lookup import join_lookup
 from ..schema import RECORD_CALL, RETRY_WITH, TARGETS, Target, found_action
-from ..session import cut
+from ..session import cut, keyed_store
 from ..sources.answers import attach_responses
 
 Answer = Callable[[DataFrame], DataFrame]
@@ -86,7 +86,7 @@ def _inside(ranges: DataFrame, counts: DataFrame) -> DataFrame:
 
 def run_rounds(
     requests: DataFrame,
-    lines: DataFrame,
+    files: DataFrame,
     counts: DataFrame,
     target: Target,
     answer: Answer,
@@ -103,8 +103,7 @@ def run_rounds(
     requests = cut(requests, "requests")
     while True:
         checked_requests = ln.check_requests(requests, counts)
-        sliced = ln.slice_lines(lines, checked_requests)
-        excerpts = ln.render_excerpts(ln.collapse_omissions(sliced, checked_requests)).drop("path")
+        excerpts = ln.cut_excerpts(files, checked_requests).drop("path")
         prompts = wn.build_prompts(
             requests.join(excerpts, "request_id"), [target], lambda t: catalog
         )
@@ -140,7 +139,7 @@ def _merge(parts: list[Extraction]) -> Extraction:
     )
 
 
-def _level(scope: DataFrame, keys: tuple[str, ...], targets, lines, counts, answer, max_rounds) -> list[Extraction]:
+def _level(scope: DataFrame, keys: tuple[str, ...], targets, files, counts, answer, max_rounds) -> list[Extraction]:
     """Targets of one level in order; what one has claimed the next does not read."""
     out: list[Extraction] = []
     claimed = None
@@ -149,7 +148,7 @@ def _level(scope: DataFrame, keys: tuple[str, ...], targets, lines, counts, answ
         if claimed is not None:
             windows = wn.subtract_claimed(scope, claimed, keys)
         requests = wn.window_requests(windows, [target])
-        got = run_rounds(requests, lines, counts, target, answer, max_rounds)
+        got = run_rounds(requests, files, counts, target, answer, max_rounds)
         got.found = cut(got.found, "found")
         out.append(got)
         claims = _inside(got.found.select("path", *keys[1:], "start_line", "end_line"), counts)
@@ -165,7 +164,7 @@ def _level(scope: DataFrame, keys: tuple[str, ...], targets, lines, counts, answ
                 "scope_lines", F.col("end_line") - F.col("start_line") + 1
             )
             inner = wn.plan_windows_within(parents)
-            out += _level(inner, ("path", "parent_id"), target.children, lines, counts, answer, max_rounds)
+            out += _level(inner, ("path", "parent_id"), target.children, files, counts, answer, max_rounds)
     return out
 
 
@@ -176,12 +175,12 @@ def extract_targets(
     max_rounds: int | None = None,
 ) -> Extraction:
     """All targets of all files, children inside each parent found."""
+    files = keyed_store(files.select("path", "content"), "path", "files")
     counts = cut(ln.line_counts(files), "counts")
-    lines = cut(ln.split_lines(files), "lines")
     scope = join_lookup(
         wn.plan_windows(counts), counts.withColumnRenamed("n_lines", "scope_lines"), "path"
     )
-    return _merge(_level(scope, ("path",), targets, lines, counts, answer, max_rounds))
+    return _merge(_level(scope, ("path",), targets, files, counts, answer, max_rounds))
 
 
 def call_graph_from_answers(files: DataFrame, answer: Answer, max_rounds: int | None = None) -> tuple[CallGraph, Extraction]:
@@ -189,7 +188,6 @@ def call_graph_from_answers(files: DataFrame, answer: Answer, max_rounds: int |
     got = extract_targets(files, answer, TARGETS, max_rounds)
     found = cut(got.found, "found")
     nodes = gr.build_nodes(found)
-    lines = ln.split_lines(files)
     bodies = nodes.select(
         F.col("node_id").alias("request_id"),
         F.col("file").alias("path"),
@@ -197,7 +195,7 @@ def call_graph_from_answers(files: DataFrame, answer: Answer, max_rounds: int |
         F.col("line_end").alias("end"),
     ).dropDuplicates(["request_id"])
     readable = ln.check_requests(bodies, ln.line_counts(files))
-    prompts = wn.build_body_prompts(ln.render_excerpts(ln.slice_lines(lines, readable)), RECORD_CALL)
+    prompts = wn.build_body_prompts(ln.cut_excerpts(files, readable.withColumn("spec", F.lit(""))), RECORD_CALL)
     raw, used = _ask(prompts, answer, "find_calls")
     clean = an.clean_answers(raw)
     checked = cut(an.check_required(an.parse_answers(clean), [RECORD_CALL]), "actions")

@@ -44,6 +44,18 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/spanloom-{label}-{uuid.uuid4().hex}"
 
 
+def keyed_store(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, dealt out by ``key``, as a bucketed table of this session.
+
+    A join on ``key`` shuffles only the other side, however often it is done.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, label)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -352,10 +352,10 @@ ORACLES: dict[str, str] = {
     ),
     "next_round": _q(
         [DOCS, ANSWERS],
-        """SELECT DISTINCT path || ':function:' || a || ':' || b || ':2-3' AS request_id, path, 'function' AS target_id,
-        a::INTEGER AS start, b::INTEGER AS "end", '2-3' AS spec
-        FROM (SELECT act.path, first::INTEGER AS a, least(second::INTEGER, n) AS b FROM act JOIN dn ON dn.path = act.path
-          WHERE shape = 10 AND ordinal = 1) WHERE a <= b""",
+        """SELECT DISTINCT path || ':function:' || a || ':' || b || ':' || spec AS request_id, path, 'function' AS target_id,
+        a::INTEGER AS start, b::INTEGER AS "end", spec
+        FROM (SELECT *, CASE WHEN a > 3 OR b < 2 THEN '' ELSE '2-3' END AS spec FROM (SELECT act.path, first::INTEGER AS a, least(second::INTEGER, n) AS b FROM act JOIN dn ON dn.path = act.path
+          WHERE shape = 10 AND ordinal = 1)) WHERE a <= b""",
     ),
     "usage_rollup": """SELECT event_type AS stage, sum(user_id)::BIGINT AS in_tokens, sum(length(props))::BIGINT AS out_tokens,
         sum(value::DECIMAL(18, 2))::DOUBLE AS time_secs, count(*) AS n_calls FROM events GROUP BY 1""",
@@ -457,4 +457,5 @@ def _brace(suffix: str) -> str:
     return _q([head], " UNION ALL ".join(parts))
 
 
+ORACLES["cut_excerpts"] = ORACLES["render_excerpts"]
 ORACLES |= {f"code_{suffix}": _brace(suffix) for suffix in _BRACE}

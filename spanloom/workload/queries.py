@@ -299,6 +299,12 @@ def collapse_omissions(spark, sf_dir):
     return ln.collapse_omissions(*_document_slices(spark, sf_dir))
 
 
+@query
+def cut_excerpts(spark, sf_dir):
+    """The excerpts of ``render_excerpts``, cut in place."""
+    return ln.cut_excerpts(corpus.document_files(spark, sf_dir), _document_requests(spark, sf_dir))
+
+
 @query
 def render_excerpts(spark, sf_dir):
     return ln.render_excerpts(ln.collapse_omissions(*_document_slices(spark, sf_dir)))
@@ -310,13 +316,8 @@ def _document_windows(spark, sf_dir):
 
 
 def _window_prompts(spark, sf_dir):
-    requests, counts = _document_windows(spark, sf_dir)
-    lines = ln.split_lines(corpus.document_files(spark, sf_dir))
-    excerpts = ln.render_excerpts(ln.slice_lines(lines, requests)).drop("path")
-    scoped = requests.join(counts.withColumnRenamed("n_lines", "scope_lines"), "path")
-    return wn.build_prompts(
-        scoped.join(excerpts, "request_id"), (CLASS, FUNCTION), lambda t: [found_action(t), RETRY_WITH]
-    )
+    files = corpus.document_files(spark, sf_dir)
+    return wn.window_prompts(files, (CLASS, FUNCTION), lambda t: [found_action(t), RETRY_WITH])
 
 
 @query
@@ -338,8 +339,7 @@ def build_body_prompts(spark, sf_dir):
         ex.tx.node_id(F.col("path"), F.col("start_line"), F.col("name")).alias("request_id"),
         "path", F.col("start_line").alias("start"), F.col("end_line").alias("end"),
     )
-    lines = ln.split_lines(corpus.code_files(spark, sf_dir))
-    excerpts = ln.render_excerpts(ln.slice_lines(lines, spans))
+    excerpts = ln.cut_excerpts(corpus.code_files(spark, sf_dir), spans.withColumn("spec", F.lit("")))
     return wn.build_body_prompts(excerpts, RECORD_CALL).select("request_id", "part", "prompt_key")
 
 
