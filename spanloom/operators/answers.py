@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -144,23 +145,37 @@ def answers_to_found(
 
     ``requests`` has one row per ``request_id`` with ``path`` and ``target_id``, and with
     ``parent_id`` when it reads inside a parent. The name is in the field that the request's target
-    names, or else in the field of another of the ``targets``.
+    names, or else in the field of another of the ``targets``. Further columns of a target's mapping
+    become ``fields MAP<STRING, STRING>``, a column that is there only if some target has such.
     """
     nested = "parent_id" in requests.columns
     columns = ["path", "target_id", "parent_id"] if nested else ["path", "target_id"]
     rows = _with_request(actions.where(F.col("name") == "found_target"), requests, columns)
     field = F.col("input")
     known = _with_children(targets)
-    own = [F.when(F.col("target_id") == t.target_id, field[t.name_field]) for t in known]
-    return rows.select(
+    further = sorted({((t.target_id, c), f) for t in known for c, f in t.further.items()})
+    own = [F.when(F.col("target_id") == t.target_id, field[t.field_of("name")]) for t in known]
+
+    def mapped(column: str) -> Column:
+        """The field that the request's target maps the column to."""
+        differ = [t for t in known if t.field_of(column) != column]
+        return reduce(lambda out, t: F.when(F.col("target_id") == t.target_id, field[t.field_of(column)]).otherwise(out), differ, field[column])
+
+    found = rows.select(
         "path",
         "target_id",
-        F.coalesce(*own, *[field[t.name_field] for t in known]).alias("name"),
-        field["start_line"].try_cast("int").alias("start_line"),
-        field["end_line"].try_cast("int").alias("end_line"),
+        F.coalesce(*own, *[field[t.field_of("name")] for t in known]).alias("name"),
+        mapped("start_line").try_cast("int").alias("start_line"),
+        mapped("end_line").try_cast("int").alias("end_line"),
         (F.col("parent_id") if nested else F.lit(None).cast("string")).alias("parent_id"),
-        F.coalesce(field["file"], F.col("path")).alias("file"),
+        F.coalesce(mapped("file"), F.col("path")).alias("file"),
+        *[field[f].alias(f"_further_{i}") for i, (_, f) in enumerate(further)],
     )
+    if not further:
+        return found
+    entries = [F.when(F.col("target_id") == t, F.struct(F.lit(c).alias("key"), F.col(f"_further_{i}").alias("value"))) for i, ((t, c), _) in enumerate(further)]
+    given = F.filter(F.array(*entries), lambda e: e.isNotNull() & e["value"].isNotNull())
+    return found.withColumn("fields", F.map_from_entries(given)).drop(*[f"_further_{i}" for i in range(len(further))])
 
 
 def answers_to_calls(actions: DataFrame, requests: DataFrame) -> DataFrame:

@@ -434,32 +434,70 @@ def find_calls(code: DataFrame, functions: DataFrame, innermost: bool = False) -
     ).where(F.col("callee_name").isNotNull())
 
 
+ANSWER_LOG = "prompt_key STRING, raw STRING, time_secs DOUBLE, error STRING"
+
+
 def extract_with(
-    prompts: DataFrame, batch: Callable[[list[str]], list[str]], parallelism: int | None = None
+    prompts: DataFrame, batch: Callable[[list[str]], list[str]], parallelism: int | None = None, batch_size: int = 256
 ) -> DataFrame:
-    """Ask a caller's batch function: ``(prompt_key, raw, time_secs)``, one row per distinct prompt.
+    """Ask a caller's batch function: ``(prompt_key, raw, time_secs, error)``, one row per distinct prompt.
 
-    The partition count is the number of calls in flight. Write the result once (``cut``) and
-    attach it as recorded answers, so that a re-run does not ask again.
+    ``parallelism`` is the number of calls in flight, by default the session's; Spark does not merge
+    these partitions. A call gets at most ``batch_size`` prompts; one that fails gives rows with ``error``
+    and no ``raw``, the others go on. Write the result once (``cut``, or ``ask_log`` to go on
+    after a stop) and attach it as recorded answers, so that a re-run does not ask again.
     """
-    asked = prompts.select("prompt_key", "prompt").dropDuplicates(["prompt_key"])
-    if parallelism:
-        asked = asked.repartition(parallelism, "prompt_key")
+    n = parallelism or prompts.sparkSession.sparkContext.defaultParallelism
+    asked = prompts.select("prompt_key", "prompt").repartition(n, "prompt_key").dropDuplicates(["prompt_key"])
 
     def run(batches):
         import time
 
         import pandas as pd
 
-        for frame in batches:
-            began = time.perf_counter()
-            answers = batch(frame["prompt"].tolist())
-            spent = (time.perf_counter() - began) / max(len(frame), 1)
-            yield pd.DataFrame(
-                {"prompt_key": frame["prompt_key"], "raw": answers, "time_secs": spent}
-            )
+        for whole in batches:
+            for at in range(0, len(whole), batch_size):
+                frame = whole.iloc[at : at + batch_size]
+                began, error = time.perf_counter(), None
+                try:
+                    answers = list(batch(frame["prompt"].tolist()))
+                    if len(answers) != len(frame):
+                        raise ValueError(f"{len(answers)} answers to {len(frame)} prompts")
+                except Exception as failure:  # the batch function is the caller's: whatever it raises, the others go on
+                    answers, error = [None] * len(frame), f"{type(failure).__name__}: {failure}"
+                spent = (time.perf_counter() - began) / len(frame)
+                yield pd.DataFrame({"prompt_key": frame["prompt_key"], "raw": answers, "time_secs": spent, "error": error})
+
+    return asked.mapInPandas(run, ANSWER_LOG)
+
+
+def ask_log(
+    prompts: DataFrame,
+    batch: Callable[[list[str]], list[str]],
+    path: str,
+    parallelism: int | None = None,
+    batch_size: int = 256,
+    turns: int = 1,
+) -> DataFrame:
+    """``extract_with`` over a log at ``path`` that outlives the job: what it holds is not asked again.
 
-    return asked.mapInPandas(run, "prompt_key STRING, raw STRING, time_secs DOUBLE")
+    Open prompts are asked in ``turns`` parts; each is appended when it is done, so that a stop loses one part.
+    Failed prompts count as open. Gives a row per prompt of ``prompts``, failed ones with their last error.
+    """
+    spark = prompts.sparkSession
+    spark.createDataFrame([], ANSWER_LOG).write.mode("append").parquet(path)
+
+    def log() -> DataFrame:
+        return spark.read.schema(ANSWER_LOG).parquet(path)
+
+    turn = F.pmod(F.xxhash64("prompt_key"), F.lit(turns))
+    for k in range(turns):
+        done = log().where(F.col("raw").isNotNull()).select("prompt_key").distinct()
+        open_ = prompts.where(turn == k).select("prompt_key", "prompt").join(done, "prompt_key", "left_anti")
+        extract_with(open_, batch, parallelism, batch_size).write.mode("append").parquet(path)
+    state = F.max(F.struct(F.col("raw").isNotNull(), "raw", "time_secs", "error")).alias("s")
+    latest = log().groupBy("prompt_key").agg(state).select("prompt_key", "s.raw", "s.time_secs", "s.error")
+    return latest.join(prompts.select("prompt_key").distinct(), "prompt_key", "left_semi")
 
 
 def map_fields(found: DataFrame, mapping: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -13,13 +13,14 @@ LIST_CALLS = 4096
 
 
 def build_nodes(found: DataFrame) -> DataFrame:
-    """Functions -> ``nodes``; ``node_id = file:line_start:name``."""
+    """Functions -> ``nodes``; ``node_id = file:line_start:name``. Mapped ``fields`` of answers are carried on."""
     return found.where(F.col("target_id") == "function").select(
         tx.node_id(F.col("path"), F.col("start_line"), F.col("name")).alias("node_id"),
         "name",
         (F.coalesce("file", "path") if "file" in found.columns else F.col("path")).alias("file"),
         F.col("start_line").alias("line_start"),
         F.col("end_line").alias("line_end"),
+        *[c for c in found.columns if c == "fields"],
     )
 
 

@@ -134,7 +134,7 @@ def omission_key(spec: Column, start: Column, end: Column) -> Column:
     which leaves no marker, only the lines inside and the first one behind count. Bad tokens have no part in it.
     """
     number = lambda t, pattern: F.call_function("regexp_extract", t, F.lit(pattern), F.lit(1)).try_cast("int")
-    tokens = F.filter(F.transform(F.split(spec, ","), F.trim), lambda t: t.rlike(r"^\+?\d+(?:\s*-\s*\d+)?$"))
+    tokens = F.filter(F.transform(F.split(spec, ","), lambda t: F.trim(t)), lambda t: t.rlike(r"^\+?\d+(?:\s*-\s*\d+)?$"))
     ranges = F.transform(tokens, lambda t: F.struct(number(t, r"^\+?(\d+)").alias("low"), number(t, r"(\d+)$").alias("high")))
     good = F.array_sort(F.filter(ranges, lambda r: r["low"] <= r["high"]))
     done = F.array().cast("array<struct<low:int,high:int>>")

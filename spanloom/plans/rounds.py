@@ -45,10 +45,14 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _ask(prompts: DataFrame, answer: Answer, stage: str) -> tuple[DataFrame, DataFrame]:
-    """Answers per request and the usage rows of the stage."""
+def _ask(prompts: DataFrame, answer: Answer, stage: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Answers per request, the usage rows of the stage, and requests whose question failed as ``quarantine`` rows."""
     prompts = cut(prompts, "prompts")
-    log = cut(answer(prompts), "answers")
+    log, failed = cut(answer(prompts), "answers"), []
+    if "error" in log.columns:
+        errors = log.where(F.col("raw").isNull()).select("prompt_key", "error")
+        failed = [prompts.join(errors, "prompt_key").select("request_id", F.lit("no_answer").alias("reason"), F.col("error").alias("raw"))]
+        log = log.where(F.col("raw").isNotNull())
     answered = attach_responses(prompts, log)
     if "time_secs" in log.columns:
         spent = log.groupBy("prompt_key").agg(F.sum("time_secs").alias("time_secs"))
@@ -65,7 +69,7 @@ def _ask(prompts: DataFrame, answer: Answer, stage: str) -> tuple[DataFrame, Dat
     )
     # a question that several requests share was asked, and is counted, once
     usage = usage.dropDuplicates(["prompt_key"]).drop("prompt_key")
-    return answered.select("request_id", "part", "raw"), usage
+    return answered.select("request_id", "part", "raw"), usage, failed
 
 
 def _unreadable(checked: DataFrame) -> DataFrame:
@@ -107,12 +111,12 @@ def run_rounds(
         prompts = wn.build_prompts(
             requests.join(excerpts, "request_id"), [target], lambda t: catalog
         )
-        raw, used = _ask(prompts, answer, f"find_{target.target_id}")
+        raw, used, failed = _ask(prompts, answer, f"find_{target.target_id}")
         clean = an.clean_answers(raw)
         checked = cut(an.check_required(an.parse_answers(clean), catalog), "actions")
         good = an.good_actions(checked)
         found.append(an.answers_to_found(good, requests, (target,)))
-        bad += [an.quarantined(checked), an.bad_answers(clean), _unreadable(checked_requests)]
+        bad += [an.quarantined(checked), an.bad_answers(clean), _unreadable(checked_requests), *failed]
         usage.append(used)
         seen = requests if seen is None else seen.unionByName(requests)
         turn += 1
@@ -183,9 +187,14 @@ def extract_targets(
     return _merge(_level(scope, ("path",), targets, files, counts, answer, max_rounds))
 
 
-def call_graph_from_answers(files: DataFrame, answer: Answer, max_rounds: int | None = None) -> tuple[CallGraph, Extraction]:
-    """Flow A with answers instead of rules: definitions, then the calls of each body."""
-    got = extract_targets(files, answer, TARGETS, max_rounds)
+def call_graph_from_answers(
+    files: DataFrame, answer: Answer, max_rounds: int | None = None, targets: tuple[Target, ...] = TARGETS
+) -> tuple[CallGraph, Extraction]:
+    """Flow A with answers instead of rules: definitions, then the calls of each body.
+
+    Targets with the id ``function``, also as children, become nodes, with what their mapping adds as ``fields``.
+    """
+    got = extract_targets(files, answer, targets, max_rounds)
     found = cut(got.found, "found")
     nodes = gr.build_nodes(found)
     bodies = nodes.select(
@@ -196,7 +205,7 @@ def call_graph_from_answers(files: DataFrame, answer: Answer, max_rounds: int |
     ).dropDuplicates(["request_id"])
     readable = ln.check_requests(bodies, ln.line_counts(files))
     prompts = wn.build_body_prompts(ln.cut_excerpts(files, readable.withColumn("spec", F.lit(""))), RECORD_CALL)
-    raw, used = _ask(prompts, answer, "find_calls")
+    raw, used, failed = _ask(prompts, answer, "find_calls")
     clean = an.clean_answers(raw)
     checked = cut(an.check_required(an.parse_answers(clean), [RECORD_CALL]), "actions")
     callers = bodies.select("request_id", "path", F.col("request_id").alias("caller_id"))
@@ -204,13 +213,15 @@ def call_graph_from_answers(files: DataFrame, answer: Answer, max_rounds: int |
     edges = gr.build_edges(gr.resolve_callees(calls, nodes))
     merged = Extraction(
         found,
-        _union([_unreadable(readable), got.quarantine, an.quarantined(checked), an.bad_answers(clean)]),
+        _union([_unreadable(readable), got.quarantine, an.quarantined(checked), an.bad_answers(clean), *failed]),
         got.usage.unionByName(used),
         got.open_requests,
     )
     return CallGraph(found, nodes, calls, edges), merged
 
 
-def asking(batch: Callable[[list[str]], list[str]], parallelism: int | None = None) -> Answer:
-    """An answer function around a caller's batch function."""
-    return lambda prompts: ex.extract_with(prompts, batch, parallelism)
+def asking(batch: Callable[[list[str]], list[str]], parallelism: int | None = None, log: str | None = None, **more) -> Answer:
+    """An answer function around a caller's batch function, over a log at path ``log`` where one is named."""
+    if log is None:
+        return lambda prompts: ex.extract_with(prompts, batch, parallelism, **more)
+    return lambda prompts: ex.ask_log(prompts, batch, log, parallelism, **more)

@@ -18,14 +18,30 @@ class Action:
     required: tuple[str, ...] = ()
 
 
+# Columns of a definition besides its name.
+PLACE = ("start_line", "end_line", "file")
+
+
 @dataclass(frozen=True)
 class Target:
-    """Something to look for; children are looked for inside each parent that was found."""
+    """Something to look for; children are looked for inside each parent that was found.
+
+    ``mapping`` names the answer's field for a column: ``start_line``, ``end_line`` or ``file`` where the
+    answer calls them otherwise, and any further column, which becomes an entry of ``fields``.
+    """
 
     target_id: str
     description: str
     name_field: str
     children: tuple["Target", ...] = field(default=())
+    mapping: tuple[tuple[str, str], ...] = ()
+
+    def field_of(self, column: str) -> str:
+        return dict(self.mapping).get(column, self.name_field if column == "name" else column)
+
+    @property
+    def further(self) -> dict[str, str]:
+        return {c: f for c, f in self.mapping if c not in ("name", *PLACE)}
 
 
 # Target ids, action names and field names are part of the answer format.
@@ -53,10 +69,11 @@ def found_action(target: Target) -> Action:
         "found_target",
         f"Report one {target.description}.",
         {
-            target.name_field: "string",
-            "start_line": "integer",
-            "end_line": "integer",
-            "file": "string",
+            target.field_of("name"): "string",
+            target.field_of("start_line"): "integer",
+            target.field_of("end_line"): "integer",
+            target.field_of("file"): "string",
+            **dict.fromkeys(target.further.values(), "string"),
         },
-        (target.name_field, "start_line", "end_line"),
+        tuple(map(target.field_of, ("name", "start_line", "end_line"))),
     )

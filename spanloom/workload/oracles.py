@@ -357,6 +357,12 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, CASE WHEN a > 3 OR b < 2 THEN '' ELSE '2-3' END AS spec FROM (SELECT act.path, first::INTEGER AS a, least(second::INTEGER, n) AS b FROM act JOIN dn ON dn.path = act.path
           WHERE shape = 10 AND ordinal = 1)) WHERE a <= b""",
     ),
+    "request_chain": _docs(
+        """, r AS (SELECT path, n, k, 10 * k + 1 AS a, least(10 * k + 10, n) AS b FROM dn, range(6) t(k) WHERE n > 10 * k),
+        s AS (SELECT *, CASE WHEN k = 0 OR a + 1 > b THEN '' ELSE (a + 1)::VARCHAR END AS spec FROM r)
+        SELECT path || ':function:' || a || ':' || b || ':' || spec AS request_id, path, 'function' AS target_id,
+        a::INTEGER AS start, b::INTEGER AS "end", spec FROM s"""
+    ),
     "usage_rollup": """SELECT event_type AS stage, sum(user_id)::BIGINT AS in_tokens, sum(length(props))::BIGINT AS out_tokens,
         sum(value::DECIMAL(18, 2))::DOUBLE AS time_secs, count(*) AS n_calls FROM events GROUP BY 1""",
     "estimated_tokens": _ans(
@@ -376,6 +382,12 @@ ORACLES: dict[str, str] = {
         f"""SELECT o.path AS project, count(e.project) = 0 AS success, count(e.project) AS n_errors
         FROM o LEFT JOIN {_ALL_ERRORS} e ON e.project = o.path GROUP BY 1"""
     ),
+    "early_verdict": _gold(
+        f""", ep AS (SELECT path AS project FROM o UNION SELECT 'proj/' || (c_custkey // 3) FROM customer),
+        ee AS (SELECT project FROM {_ALL_ERRORS} UNION ALL SELECT path FROM o WHERE k % 7 IN (0, 3)
+          UNION ALL SELECT 'proj/' || (c_custkey // 3) FROM customer GROUP BY 1 HAVING count(*) FILTER (WHERE c_nationkey % 5 < 2) = 0)
+        SELECT ep.project, count(ee.project) = 0 AS success, count(ee.project) AS n_errors FROM ep LEFT JOIN ee USING (project) GROUP BY 1"""
+    ),
     "pick_source_file": """SELECT 'proj/' || (c_custkey // 3) AS project, min(CASE c_nationkey % 5
         WHEN 0 THEN 'proj/' || (c_custkey // 3) || '/main.py' WHEN 1 THEN 'proj/' || (c_custkey // 3) || '/main.rs' END) AS path
         FROM customer GROUP BY 1""",

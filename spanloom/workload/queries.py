@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -452,6 +453,31 @@ def next_round(spark, sf_dir):
     return wn.next_round(good, raw_answers(spark, sf_dir), counts)
 
 
+@query
+def request_chain(spark, sf_dir):
+    """Five rounds of follow-ups from the first lines of every document; each answer comes in two spellings."""
+    counts = ln.line_counts(corpus.document_files(spark, sf_dir)).where(F.col("n_lines") > 0)
+    first = counts.select(
+        "path", F.lit("function").alias("target_id"), F.lit(1).alias("start"), F.least(F.lit(10), "n_lines").alias("end"), F.lit("").alias("spec")
+    )
+    asked = [cut(first.select(wn.request_id().alias("request_id"), "*"), "requests")]
+    for _ in range(5):
+        line = (F.col("start") + 11).cast("string")
+        spelled = F.array(F.concat_ws(",", line, line), F.concat(F.lit(" +"), line, F.lit(" - "), line))
+        actions = asked[-1].select(
+            "request_id",
+            F.posexplode(spelled).alias("part", "spec"),
+            F.lit(0).alias("ordinal"),
+            F.lit("retry_with").alias("name"),
+            (F.col("start") + 10).cast("string").alias("from"),
+            (F.col("end") + 10).cast("string").alias("to"),
+        )
+        fields = F.create_map(F.lit("start"), "from", F.lit("end"), "to", F.lit("omitted_lines"), "spec")
+        seen = reduce(DataFrame.unionByName, asked)
+        asked.append(cut(wn.next_round(actions.withColumn("input", fields), asked[-1], counts, seen), "requests"))
+    return reduce(DataFrame.unionByName, asked)
+
+
 @query
 def usage_rollup(spark, sf_dir):
     log = corpus.table(spark, sf_dir, "events").select(
@@ -568,6 +594,14 @@ def verdict(spark, sf_dir):
     return sc.verdict(_golden_texts(spark, sf_dir), sc.score(*parts))
 
 
+@query
+def early_verdict(spark, sf_dir):
+    """The verdict with what ends a project early: no golden graph that can be read, or no source file."""
+    early = golden_findings(spark, sf_dir).unionByName(missing_sources(spark, sf_dir))
+    projects = _golden_texts(spark, sf_dir).select("project").unionByName(sf.pick_source_file(_project_files(spark, sf_dir)).select("project"))
+    return sc.verdict(projects, sc.score(*_scored(spark, sf_dir), early=early))
+
+
 @query
 def pick_source_file(spark, sf_dir):
     return sf.pick_source_file(_project_files(spark, sf_dir))
