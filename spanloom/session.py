@@ -56,12 +56,12 @@ def keyed_store(df: DataFrame, key: str, label: str) -> DataFrame:
     return spark.table(name)
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", codec: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Readers of the result prune columns and push filters into parquet, and a lost executor
     costs a re-read instead of the whole lineage.
     """
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
