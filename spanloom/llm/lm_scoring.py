@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from .. import session
 from .bpe import slices
 from .common import read_texts
 
@@ -53,6 +53,11 @@ SEGMENT = 1 << 20
 CHUNK = 1000
 
 
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """As everywhere, but packed harder: the tree's tables are many times larger than the text."""
+    return session.cut(df, label, "zstd")
+
+
 def tokens_of(text: str) -> list[bytes]:
     return text.encode().lower().split()  # bytes: A-Z only, and just the six white-space bytes
 
@@ -300,7 +305,7 @@ def grow(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
 
 
 def _weighted(cells: DataFrame, deepest: bool) -> DataFrame:
-    """``context, node, zero, one`` with the log of the weighted probability, the share of the own estimate, and its next one."""
+    """``context, node, zero, one`` with the log of the weighted probability and the share of the own estimate in it."""
     half = math.log(0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,10 +314,9 @@ def _weighted(cells: DataFrame, deepest: bool) -> DataFrame:
             own = log_gamma(zero + 0.5) + log_gamma(one + 0.5) - log_gamma(zero + one + 1) - math.log(math.pi)
             both = own if deepest else np.logaddexp(half + own, half + below)
             mix = np.ones(len(own)) if deepest else np.exp(half + own - both)
-            columns = [*batch.columns[:4], pa.array(both), pa.array(mix), pa.array((one + 0.5) / (zero + one + 1))]
-            yield pa.record_batch(columns, ["context", "node", "zero", "one", "weighted", "mix", "next"])
+            yield pa.record_batch([*batch.columns[:4], pa.array(both), pa.array(mix)], ["context", "node", "zero", "one", "weighted", "mix"])
 
-    return cells.mapInArrow(run, "context long, node int, zero long, one long, weighted double, mix double, next double")
+    return cells.mapInArrow(run, "context long, node int, zero long, one long, weighted double, mix double")
 
 
 def _decisions(grams: DataFrame) -> DataFrame:
@@ -342,7 +346,7 @@ def tree_levels(grams: DataFrame) -> list[DataFrame]:
         up = levels[0].groupBy(_shorter(depth).alias("context"), "node")
         cells = up.agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("weighted").alias("below"))
         levels.insert(0, cut(_weighted(cells, False), "level"))
-    own, rest = F.col("mix") * F.col("next"), 1 - F.col("mix")
+    own, rest = F.col("mix") * ((F.col("one") + 0.5) / (F.col("zero") + F.col("one") + 1)), 1 - F.col("mix")
     out = [cut(levels[0].select("context", "node", own.alias("past"), rest.alias("left")), "mixed")]
     for depth in range(1, DEPTH + 1):
         above = out[-1].withColumnsRenamed({"context": "above", "past": "p", "left": "l"})
@@ -402,20 +406,45 @@ def _runs(bodies: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield grams, np.full(len(grams), i)
 
 
-def body_scores(bodies: list[bytes], keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
-    """log10 probability of each body with its end as far as ``keys`` go, and its grams that are not among them."""
+class GramTable:
+    """Scores by gram, with open addressing, so that all grams of a batch are looked up at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, np.nan)
+        left, slot = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[left[free]]  # of several, the last one stays
+            held = self.keys[slot] == keys[left]
+            self.values[slot[held]] = values[left[held]]
+            left, slot = left[~held], (slot[~held] + 1) & (len(self.keys) - 1)
+
+    def _home(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """The score of each gram, not a number where the table has none."""
+        slot = self._home(grams)
+        there = self.keys[slot]
+        out = np.where(there == grams, self.values[slot], np.nan)
+        left = np.flatnonzero((there != grams) & (there >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            there = self.keys[slot]
+            hit = there == grams[left]
+            out[left[hit]] = self.values[slot[hit]]
+            on = ~hit & (there >= 0)
+            left, slot = left[on], slot[on]
+        return out
+
+
+def body_scores(bodies: list[bytes], table: GramTable) -> tuple[np.ndarray, pa.ListArray]:
+    """log10 probability of each body with its end as far as ``table`` goes, and its grams that are not in it."""
     out, others, whose = np.zeros(len(bodies)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for grams, of in _runs(bodies):
-        order = np.argsort(grams)
-        ordered = grams[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        distinct = ordered[new]
-        log = np.full(len(distinct), np.nan)
-        if len(keys):
-            place = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-            log = np.where(keys[place] == distinct, values[place], np.nan)
-        each = np.empty(len(grams))
-        each[order] = log[np.cumsum(new) - 1]
+        each = table.find(grams)
         rare = np.isnan(each)
         others.append(grams[rare])
         whose.append(of[rare])
@@ -443,6 +472,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values, frequent = model.value
+        table = GramTable(keys, values)
         row = TaskContext.get().partitionId() << 33
         rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
         names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "rare", "rare_grams"]
@@ -465,7 +495,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     base.append(s)
                     rare.append(others)
                 bodies = [b" ".join(own) for own in tokens]
-                score, rare_grams = body_scores(bodies, keys, values)
+                score, rare_grams = body_scores(bodies, table)
                 ids = part.column(0)
                 columns = [
                     pa.array(range(row, row + part.num_rows), pa.int64()), ids, pa.array([is_held_out(i) for i in ids.to_pylist()]),
