@@ -1,8 +1,10 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Candidates are found in every whole text, then their hashes are counted by distinct repositories and
-owners over the corpus. A value that many owners share is a widely copied example; one that few
-owners have and that looks random is a live credential. Values leave the scan as hashes only.
+owners over the corpus. A value that many owners share, or that stands in many repositories of
+whatever owners, is a widely copied example; one that is specific to few and looks random is a live
+credential. What counts as many follows from the numbers of owners and repositories (``limits``). Values
+leave the scan as hashes only.
 
 Kinds: ``assign``, ``access`` and ``hex`` are always kept. ``opaque`` (long mixed strings that no
 other candidate covers) is added by the frequency: only if it looks live and is owner-specific.
@@ -37,8 +39,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 _OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
-#: A value of more owners than this is a copied example.
-MOST_OWNERS = 2
+#: A value is a copied example if it has more than this share of all owners, or of all repositories ...
+SHARE = 0.2
+#: ... and more than so many owners, or repositories.
+MOST_OWNERS, MOST_REPOSITORIES = 2, 4
 #: Bits a character from which a value looks random, and letters and digits it needs.
 LEAST_BITS, LEAST_OF_EACH = 2.8, 3
 PLACEHOLDER = re.compile(r"example|changeme|placeholder|dummy|sample|your|test|xxx|1234567|abcdef", re.I)
@@ -119,10 +123,20 @@ def ownership(scanned: DataFrame) -> DataFrame:
     )
 
 
-def classified(scanned: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
-    """One row per span: ``row, span, label`` with the label ``live``, ``example`` or ``weak``."""
+def limits(scanned: DataFrame, share: float = SHARE) -> tuple[int, int]:
+    """The most owners, and the most repositories, of a value that is no copied example."""
+    pairs = scanned.groupBy("owner", "repository").agg(F.count("*").alias("n"))
+    owners = pairs.groupBy("owner").agg(F.count("*").alias("repositories"))
+    all_ = owners.agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")).first()
+    return max(MOST_OWNERS, int(share * all_.owners)), max(MOST_REPOSITORIES, int(share * (all_.repositories or 0)))
+
+
+def classified(scanned: DataFrame, share: float = SHARE) -> DataFrame:
+    """One row per span: ``row, span, label, n_owners, n_repositories``; labels are ``live``, ``example`` and ``weak``."""
     spans = scanned.select("row", F.explode("spans").alias("span")).withColumn("hash", F.col("span.hash"))
-    label = F.when(F.col("n_owners") > most_owners, "example").when(F.col("span.random"), "live").otherwise("weak")
+    most_owners, most_repositories = limits(scanned, share)
+    copied = (F.col("n_owners") > most_owners) | (F.col("n_repositories") > most_repositories)
+    label = F.when(copied, "example").when(F.col("span.random"), "live").otherwise("weak")
     return spans.join(ownership(scanned), "hash").select("row", "span", label.alias("label"), "n_owners", "n_repositories")
 
 
@@ -131,12 +145,15 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "repository", most_owners: int = MOST_OWNERS) -> DataFrame:
-    """One row per document: counts and spans, and how many are live, examples or weak."""
+def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "repository", share: float = SHARE) -> DataFrame:
+    """One row per document: counts and spans, how many are live, examples or weak, and the most owners and
+    repositories that one of its values has (0 without any)."""
     scanned = scan(docs, owner, repository)
-    labels = classified(scanned, most_owners)
+    labels = classified(scanned, share)
     per_row = labels.groupBy("row").agg(
         *[F.count_if(F.col("label") == name).alias(f"n_{name}") for name in ("live", "example", "weak")],
+        F.max("n_owners").alias("n_owners"),
+        F.max("n_repositories").alias("n_repositories"),
         F.collect_set(F.when((F.col("span.kind") == 3) & (F.col("label") != "live"), F.col("span.start"))).alias("left_out"),
     )
     joined = scanned.join(per_row, "row", "left")
@@ -151,11 +168,11 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "repo
         count(2).alias("n_hex"),
         F.sha2(_written(base), 256).alias("base_sha256"),
         _written(stay).alias("spans"),
-        *[F.coalesce(F.col(f"n_{name}"), F.lit(0).cast("long")).alias(f"n_{name}") for name in ("live", "example", "weak")],
+        *[F.coalesce(F.col(f"n_{name}"), F.lit(0).cast("long")).alias(f"n_{name}") for name in ("live", "example", "weak", "owners", "repositories")],
     )
 
 
-def redact(docs: DataFrame, owner: str = "source", repository: str = "repository", most_owners: int = MOST_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", repository: str = "repository", share: float = SHARE) -> DataFrame:
     """``docs`` (all rows and columns) with the values of secrets replaced; ``n_chars`` follows where present.
 
     Examples stay, and so do weak ``hex`` runs and weak ``assign`` values that are placeholders; access
@@ -163,7 +180,7 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "repository
     """
     scanned = scan(docs, owner, repository)
     weak = (F.col("label") == "weak") & ((F.col("span.kind") == 1) | ((F.col("span.kind") == 0) & ~F.col("span.placeholder")))
-    live = classified(scanned, most_owners).filter((F.col("label") == "live") | weak)
+    live = classified(scanned, share).filter((F.col("label") == "live") | weak)
     span = F.struct(F.col("span.from").alias("from"), F.col("span.to").alias("to"))
     by_row = live.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("sp_values"))
     by_key = cut(scanned.select("row", *KEYS).join(by_row, "row").drop("row").dropDuplicates(KEYS), "live")
