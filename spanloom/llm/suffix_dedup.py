@@ -287,7 +287,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            size, removed, runs, kept = [], [], [], []
+            size, removed, runs, kept, left, texts = [], [], [], [], [], []
             for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                 raw = text.encode()
                 gone = merged([(s["start"], s["n"]) for s in spans or ()])
@@ -297,12 +297,18 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(len(raw) - len(stay))
                 runs.append(len(gone))
                 kept.append(hashlib.sha256(stay).hexdigest())
-            columns = [part.column(0), *(pa.array(c, pa.int64()) for c in (size, removed, runs)), pa.array(kept, pa.string())]
-            yield pa.record_batch(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                left.append(len(stay))
+                texts.append(stay.decode("utf-8", "ignore"))  # a run may start or end inside a character
+            numbers = [pa.array(c, pa.int64()) for c in (size, removed, runs)]
+            columns = [part.column(0), *numbers, pa.array(kept, pa.string()), pa.array(left, pa.int64()), pa.array(texts, pa.string())]
+            yield pa.record_batch(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, one row per input row."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, kept_text``, one row per input row.
+
+    ``kept_text`` is what remains, without bytes that are no whole character any more.
+    """
     joined = with_keys(read_texts(docs)).join(repeated_spans(docs), KEYS, "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, kept_text string"
     return joined.select("doc_id", "text", "spans").mapInArrow(_cut_out, schema)

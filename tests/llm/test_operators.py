@@ -92,6 +92,9 @@ def test_repeated_strings(docs, group, monkeypatch):
     want = repeats_by_hand(texts())
     assert multiset(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     assert sum(k[2] for k in want) > 5000
+    for r in out.collect():
+        assert r.n_kept == r.n_bytes - r.n_removed and len(r.kept_text.encode()) <= r.n_kept
+        assert r.n_removed or sha(r.kept_text) == r.kept_sha256
 
 
 def test_pieces_of_long_texts_agree(monkeypatch):
