@@ -8,6 +8,10 @@ stream follows from its place in its queue alone. Places in a queue come from th
 whole partitions, so no text or id is shuffled. The stream is cut into windows without gaps; only
 the last one is padded. A queue that has run dry grants its place to the others.
 
+Every source has its own queue. A round deals with at most QUEUES of them: where there are more, half of the
+places go to the largest sources and the others are dealt out over groups, each of which is packed by a
+round-robin of its own and stands as one queue in the round above it.
+
 Defined cases: a null or empty text is one piece with the end id; a null source is a source of its
 own; documents of any length are cut where a window or grant ends; repeated rows are packed each;
 an empty table gives no pieces.
@@ -34,14 +38,14 @@ WINDOW = 2048
 END_ID = 1
 #: Weights are whole parts of this.
 UNIT = 1 << 16
-#: Queues, of which the last holds all sources beyond the largest ones.
+#: Queues of one round-robin.
 QUEUES = 64
 
 
-def queues_of(docs: DataFrame, source: str = "source", most: int = QUEUES) -> list[str | None]:
-    """The ``most - 1`` sources with the most bytes over all documents; the others share one queue."""
-    sizes = read_texts(docs, source).groupBy(source).agg(F.sum(F.octet_length("text") + 1).alias("size"))
-    return [r[0] for r in sizes.orderBy(F.desc("size"), source).limit(most - 1).collect()]
+def queues_of(docs: DataFrame, source: str = "source") -> list[str | None]:
+    """All sources, those with the most bytes first; one short row a source."""
+    sizes = read_texts(docs, source).groupBy(F.col(source).cast("string")).agg(F.sum(F.octet_length("text") + 1).alias("size"))
+    return [r[0] for r in sorted(sizes.collect(), key=lambda r: (-r[1], r[0] is not None, r[0] or ""))]
 
 
 def weights_of(shares: list[float]) -> list[int]:
@@ -62,12 +66,12 @@ def tokenised(docs: DataFrame, path: str, queues: list[str | None], source: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = encoder_of(path, library=True), TaskContext.get().partitionId()
         kind = "<u2" if max(len(encoder.vocabulary.bytes_of), end_id) < 1 << 16 else "<u4"
-        so_far = [0] * (len(queues) + 1)
+        so_far = [0] * len(queues)
         for batch in batches:
             for piece in slices(batch):
                 queue, before, n, ids = [], [], [], []
                 for text, name in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist()):
-                    q = number.get(name, len(queues))
+                    q = number[name]
                     own = np.append(np.frombuffer(encoder.encode(text), "<u4"), end_id).astype(kind)
                     queue.append(q)
                     before.append(so_far[q])
@@ -103,8 +107,8 @@ class Grants:
         return here.sum(axis=1) + turns[np.arange(len(queue)), queue]
 
 
-def pieces_of(queue: np.ndarray, begin: np.ndarray, n: np.ndarray, grants: Grants) -> tuple[np.ndarray, ...]:
-    """Pieces of documents that lie at ``begin .. begin + n`` of their queue: row, start, length, place in the stream."""
+def granted_runs(queue: np.ndarray, begin: np.ndarray, n: np.ndarray, grants: Grants) -> tuple[np.ndarray, ...]:
+    """Runs at ``begin .. begin + n`` of their queue, cut where grants end: row, start in it, length, place in the stream."""
     first, last = grants.rounds(queue, begin), grants.rounds(queue, begin + n - 1)
     row, round_ = spread(first, last - first + 1)
     q = queue[row]
@@ -113,38 +117,86 @@ def pieces_of(queue: np.ndarray, begin: np.ndarray, n: np.ndarray, grants: Grant
     end = np.minimum((begin + n)[row], grants.up_to(q, round_ + 1))
     place = grants.stream_place(q, round_) + start - granted
     some = end > start
-    row, start, end, place = row[some], start[some] - begin[row[some]], end[some] - begin[row[some]], place[some]
-    # a piece ends where a window ends
-    window = grants.window
-    piece, number = spread(place // window, (place + end - start - 1) // window - place // window + 1)
+    return row[some], start[some] - begin[row[some]], (end - start)[some], place[some]
+
+
+def cut_at_windows(row: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """The runs, cut where a window ends."""
+    piece, number = spread(place // window, (place + length - 1) // window - place // window + 1)
     low = np.maximum(place[piece], number * window)
-    high = np.minimum(place[piece] + (end - start)[piece], (number + 1) * window)
+    high = np.minimum(place[piece] + length[piece], (number + 1) * window)
     return row[piece], start[piece] + low - place[piece], high - low, low
 
 
+def pieces_of(queue: np.ndarray, begin: np.ndarray, n: np.ndarray, grants: Grants) -> tuple[np.ndarray, ...]:
+    """Pieces of documents that lie at ``begin .. begin + n`` of their queue: row, start, length, place in the stream."""
+    return cut_at_windows(*granted_runs(queue, begin, n, grants), grants.window)
+
+
+class Rounds:
+    """The round-robins of all sources: one, or a tree of them. Sources are numbered, the largest first."""
+
+    def __init__(self, totals: list[int], shares: list[float], window: int, width: int = QUEUES):
+        self.grants: list[Grants] = []
+        self.above: list[tuple[int, int] | None] = []  # of each round-robin: the one that it is a queue of, and which queue
+        self.leaf = np.zeros((len(totals), 2), np.int64)  # of each source: its round-robin and queue
+        self._build(np.array(totals, np.int64), np.array(shares, float), np.arange(len(totals)), None, window, width)
+
+    def _build(self, totals: np.ndarray, shares: np.ndarray, members: np.ndarray, above: tuple[int, int] | None, window: int, width: int) -> None:
+        here = len(self.grants)
+        own = members if len(members) <= width else members[: width // 2]
+        rest = members[len(own) :]
+        groups = [rest[k :: width // 2] for k in range(min(len(rest), width // 2))]
+        self.leaf[own] = np.stack([np.full(len(own), here), np.arange(len(own))], axis=1)
+        queues = [*([m] for m in own), *groups]
+        self.grants.append(Grants([int(totals[q].sum()) for q in queues], weights_of([float(shares[q].sum()) for q in queues]), window))
+        self.above.append(above)
+        for k, group in enumerate(groups):
+            self._build(totals, shares, group, (here, len(own) + k), window, width)
+
+    def pieces(self, source: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """As ``pieces_of``, for runs of the sources' own queues."""
+        node, queue = self.leaf[source].T
+        row, start, length, place, done = np.arange(len(source)), np.zeros_like(n), n, begin, []
+        while len(row):
+            out = []
+            for k in np.unique(node):
+                at = np.flatnonzero(node == k)
+                i, s, size, where = granted_runs(queue[at], place[at], length[at], self.grants[k])
+                out.append((row[at][i], start[at][i] + s, size, where, np.full(len(i), k)))
+            row, start, length, place, node = map(np.concatenate, zip(*out))
+            top = node == 0  # the first one is the root
+            done.append((row[top], start[top], length[top], place[top]))
+            row, start, length, place, node = (x[~top] for x in (row, start, length, place, node))
+            steps = np.array([self.above[k] for k in node], np.int64).reshape(-1, 2)
+            node, queue = steps[:, 0], steps[:, 1]
+        parts = [np.concatenate(x) for x in zip(*done)] if done else [np.zeros(0, np.int64)] * 4
+        order = np.lexsort((parts[1], parts[0]))
+        return cut_at_windows(*(x[order] for x in parts), self.grants[0].window)
+
+
 def pack(docs: DataFrame, path: str, mixture: dict[str, float] | None = None, source: str = "source", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue``.
 
-    ``mixture`` gives target shares by source; sources that it lacks share a queue with their own
-    share of all tokens. Without it, every queue's target is its share of all tokens, so that all
+    ``mixture`` gives target shares by source, of any number of sources; one that it lacks keeps its own
+    share of all tokens. Without it, every source's target is its share of all tokens, so that all
     run dry together.
     """
-    queues = queues_of(docs, source) if mixture is None else list(mixture)[: QUEUES - 1]
-    if mixture is not None and len(mixture) > QUEUES - 1:
-        raise ValueError(f"a mixture has at most {QUEUES - 1} sources")
+    queues = queues_of(docs, source)
     rows = cut(tokenised(docs, path, queues, source, end_id), "tokens")
     sums = rows.groupBy("part", "queue").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut(sums.select("part", "queue", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")), "offsets")
-    totals = [0] * (len(queues) + 1)
-    for r in offsets.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # at most QUEUES rows
+    totals = [0] * len(queues)
+    for r in offsets.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # one row a source
         totals[r.queue] = r.n
     shares = [float(t) for t in totals]
     if mixture is not None:
-        rest = totals[-1] / max(1, sum(totals))
-        listed = sum(mixture.values()) or 1.0
-        shares = [(1 - rest) * mixture[s] / listed for s in queues] + [rest]
-    grants = Grants(totals, weights_of(shares), window)
+        every = max(1, sum(totals))
+        rest = sum(t for s, t in zip(queues, totals) if s not in mixture) / every
+        listed = sum(v for s, v in mixture.items() if s in queues) or 1.0
+        shares = [(1 - rest) * mixture[s] / listed if s in mixture else t / every for s, t in zip(queues, totals)]
+    rounds = Rounds(totals, shares, window) if queues else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +204,7 @@ def pack(docs: DataFrame, path: str, mixture: dict[str, float] | None = None, so
                 if not part.num_rows:
                     continue
                 queue, begin, n = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-                row, start, length, place = pieces_of(queue, begin, n, grants)
+                row, start, length, place = rounds.pieces(queue, begin, n)
                 ids = part.column(4)
                 crc = np.zeros(len(row), np.int64)
                 for i in range(part.num_rows):

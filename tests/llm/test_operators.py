@@ -377,6 +377,64 @@ def test_windows_keep_the_mixture():
     assert (abs(filled[:, :120] - np.array([[320], [160], [32]])) <= 4).all()
 
 
+def round_robin(totals, weights, window):
+    """The stream by a walk through the rounds: each queue's grant up to round r is floor(r * window * weight / UNIT)."""
+    stream, given, r = [], [0] * len(totals), 0
+    while sum(given) < sum(totals):
+        r += 1
+        for q, w in enumerate(weights):
+            upto = min(totals[q], r * window * w // packing.UNIT)
+            stream += [(q, k) for k in range(given[q], upto)]
+            given[q] = upto
+    return stream
+
+
+def test_stream_is_a_plain_round_robin():
+    totals = [700, 300, 0, 41, 1]
+    weights = packing.weights_of([5, 3, 1, 1, 0.001])
+    stream = round_robin(totals, weights, 64)
+    rounds = packing.Rounds(totals, [5, 3, 1, 1, 0.001], 64)
+    source = np.array([0, 0, 1, 3, 4])
+    begin, n = np.array([0, 200, 0, 0, 0]), np.array([200, 500, 300, 41, 1])
+    row, start, length, place = rounds.pieces(source, begin, n)
+    for i, s, k, at in zip(row, start, length, place):
+        assert stream[at : at + k] == [(source[i], begin[i] + s + j) for j in range(k)]
+        assert at // 64 == (at + k - 1) // 64
+    assert length.sum() == len(stream)
+
+
+@pytest.mark.parametrize("n_sources,width", [(70, 64), (300, 8), (5, 4)])
+def test_any_number_of_sources(n_sources, width):
+    """A tree of round-robins: every token has one place, without gaps, and each source its share from early on."""
+    rng = np.random.default_rng(n_sources)
+    totals = np.sort(rng.integers(1, 4000, n_sources))[::-1].copy()
+    rounds = packing.Rounds(totals.tolist(), totals.astype(float).tolist(), 256, width)
+    cuts = [np.unique(np.concatenate([[0, t], rng.integers(0, t + 1, 3)])) for t in totals]
+    source = np.concatenate([np.full(len(c) - 1, i) for i, c in enumerate(cuts)])
+    begin = np.concatenate([c[:-1] for c in cuts])
+    n = np.concatenate([np.diff(c) for c in cuts])
+    row, start, length, place = rounds.pieces(source, begin, n)
+    taken = np.concatenate([np.arange(p, p + k) for p, k in zip(place, length)])
+    assert (np.sort(taken) == np.arange(totals.sum())).all()
+    of = np.concatenate([np.full(k, source[i]) for i, k in zip(row, length)])
+    at = np.concatenate([np.arange(begin[i] + s, begin[i] + s + k) for i, s, k in zip(row, start, length)])
+    for q in range(n_sources):
+        order = np.argsort(taken[of == q])
+        assert (at[of == q][order] == np.arange(totals[q])).all()  # in the order of the queue
+    half = np.bincount(of[taken < totals.sum() // 2], minlength=n_sources) / totals
+    assert abs(half[totals > 2000] - 0.5).max() < 0.1
+
+
+def test_packing_of_many_sources(spark):
+    rows = [(i, "word " * (i % 13), "en", f"s{i % 90}", 1) for i in range(300)]
+    out = packing.pack(frame(spark, rows), VOCABULARY, mixture={f"s{i}": 1 + i for i in range(70)}, window=64).collect()
+    at = 0
+    for number, offset, length in sorted((r.sequence_id, r.offset, r.length) for r in out):
+        assert number * 64 + offset == at
+        at += length
+    assert len({r.doc_id for r in out}) == 300
+
+
 def test_lm_scores(docs):
     tokens = [(i, t.encode().lower().split()) for i, t in texts()]
     held = {i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i, _ in tokens}
