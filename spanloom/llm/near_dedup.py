@@ -241,6 +241,8 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     named = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     across = links.select("a", "b").join(named, "a").join(named.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b")
     across = cut(across.select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b"), "across")
+    if not across.limit(1).count():
+        return labels
     joined = components(across).select(F.col("node").alias("label"), F.col("label").alias("to"))
     return cut(labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
