@@ -372,16 +372,21 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     return cut(every.groupBy("gram").agg(F.first("seen").alias("seen"), F.sum(log).alias("log10p")), "grams")
 
 
-def _most_frequent(scored: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Grams in order and their scores: all that are seen more often than some limit, FREQUENT_GRAMS at most."""
-    band = F.floor(4 * F.log2("seen"))
+def _frequent(counted: DataFrame, times: str, most: int) -> DataFrame:
+    """All rows that were met more often than some limit, ``most`` at most; the limit follows from a histogram of the counts."""
+    band = F.floor(4 * F.log2(times))
     total, least = 0, None
-    for b, n in sorted(scored.groupBy(band.alias("b")).count().collect(), reverse=True):
+    for b, n in sorted(counted.groupBy(band.alias("b")).count().collect(), reverse=True):
         total += n
-        if total > FREQUENT_GRAMS:
+        if total > most:
             break
         least = b
-    found = scored.filter(F.lit(False) if least is None else band >= least).select("gram", "log10p").toArrow()
+    return counted.filter(F.lit(False) if least is None else band >= least)
+
+
+def _most_frequent(scored: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams in order and their scores, FREQUENT_GRAMS at most."""
+    found = _frequent(scored, "seen", FREQUENT_GRAMS).select("gram", "log10p").toArrow()
     keys, values = (found.column(c).to_numpy() for c in ("gram", "log10p"))
     order = np.argsort(keys)
     return keys[order], values[order]
@@ -462,7 +467,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     n_train, distinct = (summed.n or 0) + n_docs, summed.v + (n_docs > 0)
     floor = n_train + 0.1 * (distinct + 1)
     value = lambda n: math.log10((n + 0.1) / floor)
-    frequent = words.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    frequent = _frequent(words, "n", FREQUENT).toArrow()
     top = dict(zip(frequent.column("word").to_pylist(), map(value, frequent.column("n").to_pylist())))
     del frequent
     end_value, end_known = value(n_docs), int(n_docs > 0)
