@@ -21,6 +21,7 @@ from ..plans.lookup import join_lookup
 from ..plans.ordered import following, following_by_size, preceding, running_sum
 from ..plans.ranked import numbered
 from ..plans.spans import join_spans
+from ..session import ship
 
 # A line that starts with one of these continues the statement above it.
 _CLOSERS = ")]}" + lang.CARRIED
@@ -36,6 +37,7 @@ def code_lines(files: DataFrame) -> DataFrame:
 
 
 def _token_lines(files: DataFrame) -> DataFrame:
+    ship(files.sparkSession)
     suffix = tx.suffix_of(F.col("path"))
     pattern = lang.by_suffix(F.col("suffix"), tk.TOKENS, F.lit)
     bare = files.where(lang.is_source(F.col("path"), "brace")).select(

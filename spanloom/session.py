@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,24 @@ def local_session(cores: int | str = 8, partitions: int | None = None) -> SparkS
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where they couldn't: as a zip file that Spark hands out.
+
+    Called by every operator whose tasks run functions of this package.
+    """
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, application = os.path.dirname(package), spark.sparkContext.applicationId
+    named = map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))
+    if application in _SHIPPED or root in named or "site-packages" in root:
+        return
+    _SHIPPED.add(application)
+    base = os.path.join(tempfile.mkdtemp(prefix="spanloom-code-"), "spanloom")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, os.path.basename(package)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for data that must outlive an executor: ``spark.checkpoint.dir``.
 
