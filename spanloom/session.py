@@ -65,9 +65,10 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def keyed_store(df: DataFrame, key: str, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder, dealt out by ``key``, as a bucketed table of this session.
+    """Write ``df`` once to the shared folder, dealt out by ``key``, as a bucketed table.
 
-    A join on ``key`` shuffles only the other side, however often it is done.
+    A join on ``key`` shuffles only the other side, however often it is done. The table stays in the session's
+    catalog, and its files in the folder, until they are dropped.
     """
     spark, path = df.sparkSession, new_folder(df.sparkSession, label)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -82,6 +83,7 @@ def cut(df: DataFrame, label: str = "cut", codec: str | None = None) -> DataFram
     Readers of the result prune columns and push filters into parquet, and a lost executor
     costs a re-read instead of the whole lineage.
     """
+    ship(df.sparkSession)
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
