@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship as ship
+
 #: The white space that separates words here (space, tab to carriage return); fixed by the contracts.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -19,8 +17,10 @@ KEYS = ["sp_k1", "sp_k2"]
 def read_texts(docs: DataFrame, *more: str) -> DataFrame:
     """Only ``doc_id`` (bigint), ``text`` (null becomes empty) and the named columns.
 
-    All other columns stay behind, so their names can't clash with those an operator adds.
+    All other columns stay behind, so their names can't clash with those an operator adds. Every operator
+    starts here or with ``cut``, so that its tasks find this package.
     """
+    ship(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -48,18 +48,3 @@ def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Each index as often as its count says, and first, first + 1, ... for it."""
     index = np.repeat(np.arange(len(first)), count)
     return index, first[index] + np.arange(len(index)) - np.repeat(np.cumsum(count) - count, count)
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where they couldn't: as a zip file that Spark hands out."""
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    root = os.path.dirname(package)
-    named = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if root in map(os.path.abspath, filter(None, named)) or "site-packages" in root or spark.sparkContext.applicationId in _SHIPPED:
-        return
-    _SHIPPED.add(spark.sparkContext.applicationId)
-    base = os.path.join(tempfile.mkdtemp(prefix="spanloom-code-"), "spanloom")
-    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, os.path.basename(package)))
-
-
-_SHIPPED: set[str] = set()
