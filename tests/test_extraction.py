@@ -11,6 +11,7 @@ from spanloom.operators import graph as gr
 from spanloom.operators import lines as ln
 from spanloom.plans import ordered
 from spanloom.plans.callgraph import call_graph
+from spanloom.session import cut
 
 EXAMPLE = '''# main.py
 
@@ -415,3 +416,40 @@ def test_mark_by_bracket_depth(spark):
     cases = {"-> [[u8; 4]; 2] {": "{", "f((a;b)(c{d}));": ";", "x(": None, "int b) {": "{", "for (;;) a[{;": None, "": None}
     rows = spark.createDataFrame([(k,) for k in cases], "b STRING").select("b", lang.first_mark(F.col("b")).alias("m")).collect()
     assert {r.b: r.m for r in rows} == cases
+
+
+def _tables(code, **known):
+    found = ex.span_ends(code)
+    calls = ex.find_calls(code, **known) if known else ex.find_calls(code, found.where("target_id = 'function'"))
+    return spans(found), sorted(map(str, calls.collect()))
+
+
+def test_whole_files_give_the_rows_of_the_look_ups(spark):
+    """Blocks worked out in the file, without a shuffle, are those that look-ups per path find."""
+    rng = random.Random(5)
+    texts = [("main.py", EXAMPLE), ("x.py", CLASSES), ("hard.py", PY_HARD), ("d.rs", RS_TEXT), ("e.py", ""), ("n.py", None), (None, CLASSES)]
+    pieces = ["def f{}(): g()", "class C{}:", "x{}(y())", ")", "  ] + z()", "", "name", "(call)(1)", "async def h{}(a=b()):"]
+    for n in range(60):
+        lines = [" " * rng.choice([0, 0, 1, 4, 4, 8]) + rng.choice(pieces).format(i) for i in range(rng.randint(1, 30))]
+        texts.append((f"r{n}.py", "\n".join(lines)))
+    source = files(spark, *texts).repartition(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # files go on in the next batch
+    try:
+        code = ex.code_lines(source, whole=True)
+        assert _tables(code, innermost=False) == _tables(ex.code_lines(source))
+        functions = ex.span_ends(ex.code_lines(source)).where("target_id = 'function'")
+        inner = [ex.find_calls(code, innermost=True), ex.find_calls(ex.code_lines(source), functions, innermost=True)]
+        assert sorted(map(str, inner[0].collect())) == sorted(map(str, inner[1].collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_blocks_of_stored_rows_need_no_shuffle(spark):
+    code = cut(ex.code_lines(files(spark, ("main.py", EXAMPLE), ("x.py", CLASSES)), whole=True))
+    for df in (ex.span_ends(code, ("indent",), stored=True), ex.find_calls(code, stored=True)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString() and df.count() > 4
+
+
+def test_files_that_share_a_path_see_each_other(spark):
+    source = files(spark, ("main.py", EXAMPLE), ("x.py", CLASSES), ("x.py", CLASSES), ("x.py", EXAMPLE))
+    assert _tables(ex.code_lines(source, whole=True), innermost=False) == _tables(ex.code_lines(source))
