@@ -93,3 +93,15 @@ def test_next_round_never_repeats(spark):
     assert got == [(2, 4, "3"), (5, 40, "")]
     seen = requests.select("request_id").union(first.select("request_id"))
     assert wn.next_round(actions, requests, counts, seen).count() == 0
+
+
+def test_a_chain_of_requests_reads_the_texts_once(spark, monkeypatch):
+    from spanloom.workload import corpus, queries
+
+    texts = spark.createDataFrame([(k, "\n".join(f"line {i}" for i in range(60))) for k in range(5)], "doc_id BIGINT, text STRING")
+    plans = []
+    monkeypatch.setattr(corpus, "table", lambda *_: texts)
+    whole = queries.wn.next_round
+    monkeypatch.setattr(queries.wn, "next_round", lambda a, r, counts, seen: plans.append(counts._jdf.queryExecution().optimizedPlan().toString()) or whole(a, r, counts, seen))
+    assert queries.request_chain(spark, "none").count() > 5
+    assert len(plans) == 5 and all("text" not in p for p in plans)
