@@ -1,7 +1,9 @@
 """Definitions, spans, nesting and calls on small sources."""
 
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -453,3 +455,36 @@ def test_blocks_of_stored_rows_need_no_shuffle(spark):
 def test_files_that_share_a_path_see_each_other(spark):
     source = files(spark, ("main.py", EXAMPLE), ("x.py", CLASSES), ("x.py", CLASSES), ("x.py", EXAMPLE))
     assert _tables(ex.code_lines(source, whole=True), innermost=False) == _tables(ex.code_lines(source))
+
+
+def test_whole_files_reach_the_batches_unsplit(spark):
+    """A file is one row up to the batch function; calls, names and breaks are those of the line rules."""
+    texts = [
+        ("u.py", "def größe_1(x):\r\n\tf (ñ(1), 2x(3))\x0c\tif (a): e\u0301t(1)\u2028\tdefine(class_(2))\n"),
+        ("v.py", "class A(B):\n  def f(self): return f(f)(1)\n  async  def\tg(): x = [h\n   (1), (lambda: not(k()))]\n"),
+        ("w.py", "def f():\n  a \\\n  (1)\n  b = 'x(1)' # y(2)\n  g(\n\n  )(2)\nclass C: z()"),
+        ("x.py", "\n\n \t\n"),
+    ]
+    source = files(spark, *texts)
+    code = ex.code_lines(source, whole=True)
+    for n in (1, 1 << 20):
+        ex.bl.SLICE_BYTES, kept = n, ex.bl.SLICE_BYTES
+        try:
+            rows = list(ex.bl.block_rows(_whole_input(source)))
+        finally:
+            ex.bl.SLICE_BYTES = kept
+        assert sum(r.num_rows for r in rows) == ex.code_lines(source).count()
+    assert _tables(code, innermost=False) == _tables(ex.code_lines(source))
+    plan = ex._whole_files(source)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def _whole_input(source):
+    bare = source.select("path", lang.bare_text(F.col("content"), F.lit("py")).alias("content")).toPandas()
+    texts = ["\n".join(lang_lines(t)) for t in bare["content"]]
+    none = pa.array([None] * len(texts), pa.list_(pa.int32()))
+    return [pa.record_batch([list(bare["path"]), texts, none], ["path", "content", "joined"])]
+
+
+def lang_lines(text):
+    return re.split(ex.tx.LINE_BREAK, text)
