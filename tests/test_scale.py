@@ -1,8 +1,12 @@
 """Look-ups by name, line counts and dealt rows that grow no faster than the corpus."""
 
+import random
 
+from pyspark.sql import functions as F
 
+from spanloom.functions import text as tx
 from spanloom.operators import scoring as sc
+from spanloom.operators import windows as wn
 from spanloom.workload import corpus
 
 
@@ -22,3 +26,22 @@ def test_missing_callers_shuffle_no_callees(spark):
     assert rows(found) == rows(sc._missing_callers(sc.edge_flags(golden, edges)))
     assert sorted(str(r.detail) for r in found.collect()) == ["None", "a", "b"]
     assert "callee_id" not in plan(found).split("Union")[0] and plan(found).count("Aggregate") == 1
+
+
+def test_windows_work_out_line_counts_once(spark):
+    """No filter on the line count gets below the dealing out of the rows."""
+    texts = spark.createDataFrame([(1, "a\nb"), (2, ""), (3, None)], "k INT, t STRING").repartition(2).select(
+        F.concat(F.lit("p"), "k").alias("path"), F.concat("t", F.lit("")).alias("content")
+    )
+    windows = wn.plan_windows(texts.select("path", tx.line_count(F.col("content")).alias("n_lines")))
+    assert rows(windows) == ["Row(path='p1', window_id=0, start_line=1, end_line=2)"]
+    below = plan(windows).split("Repartition")[1]
+    assert "Filter" not in below and "RLIKE" not in below
+
+
+def test_line_count_of_rare_breaks(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices(["a", "é", "\n", "\r", "\r\n", "\x0c", "\u2028", "\x85"], weights=[5, 5, 5, 1, 1, 1, 1, 1], k=rng.randrange(12))) for _ in range(200)]
+    texts += ["", "\n", "a", "a\n\n", "ñ\nñ"]
+    got = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", tx.line_count(F.col("t")).alias("n")).collect()
+    assert all(r.n == len(r.t.splitlines()) for r in got)
