@@ -9,6 +9,7 @@ from spanloom.operators import scoring as sc
 from spanloom.operators import windows as wn
 from spanloom.workload import corpus
 
+from .test_extraction import files
 
 
 def plan(df):
@@ -45,3 +46,30 @@ def test_line_count_of_rare_breaks(spark):
     texts += ["", "\n", "a", "a\n\n", "ñ\nñ"]
     got = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", tx.line_count(F.col("t")).alias("n")).collect()
     assert all(r.n == len(r.t.splitlines()) for r in got)
+
+
+def test_rows_of_few_row_groups_are_dealt_out(spark, tmp_path):
+    """All rows lie in one row group, in a table with splits enough; repeated rows are spread too."""
+    path = str(tmp_path / "t.parquet")
+    spark.range(40_000).select(F.lit(7).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("x")).coalesce(1).write.parquet(path)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for key in old:
+            spark.conf.set(key, "200k")
+        table = spark.read.parquet(path)
+        cores = spark.sparkContext.defaultParallelism
+        assert table.rdd.getNumPartitions() >= cores
+        share = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert share(corpus.spread(table)) == 40_000
+        dealt = corpus.evenly(table)
+        assert dealt.columns == ["k", "x"] and dealt.count() == 40_000 and share(dealt) < 2 * 40_000 / cores
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+
+
+def test_names_of_priorities_are_made_once_a_priority(spark):
+    """The pattern on priorities is not evaluated for each order, not by a filter on the path either."""
+    lib = corpus.library_files(spark, "/root/testdata/sf0.001").where(F.endswith("path", F.lit(".py")))
+    last = plan(lib).split("src/lib/prio_")[-1]
+    assert "regexp_replace" not in last.split("Aggregate")[-1] and lib.where(F.col("path").contains("prio_")).count() == 5
