@@ -5,8 +5,12 @@ import random
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
+from spanloom.operators import extraction as ex
+from spanloom.operators import graph as gr
 from spanloom.operators import scoring as sc
 from spanloom.operators import windows as wn
+from spanloom.plans.callgraph import call_graph
+from spanloom.session import cut
 from spanloom.workload import corpus
 
 from .test_extraction import files
@@ -20,6 +24,53 @@ def rows(df):
     return sorted(map(str, df.collect()))
 
 
+def _corpus(spark):
+    """Few names over many files, some of them twice under one path, and one language without blocks by file."""
+    rng = random.Random(11)
+    texts = []
+    for n in range(80):
+        body = "".join(f"def {rng.choice('abcdefgh')}{rng.choice(['', n])}(): {rng.choice('abcxyz')}()\n" for _ in range(rng.randint(1, 9)))
+        texts.append((f"r{n % 77}.py", body))
+    return files(spark, *texts, ("d.rs", "fn a() { b(); }\nfn zz() { a(); }\n")).repartition(3)
+
+
+def test_leading_functions_stand_for_all(spark):
+    """The first of a name and the number of its functions follow from one function a name and batch."""
+    code = cut(ex.code_lines(_corpus(spark), whole=True), "code")
+    nodes = gr.build_nodes(ex.span_ends(code, stored=True))
+    leading = gr.build_nodes(ex.leading_functions(code, stored=True))
+    assert rows(gr.first_by_name(leading)) == rows(gr.first_by_name(nodes))
+    assert leading.count() < nodes.count() == leading.agg(F.sum("n_named")).first()[0]
+    calls = ex.find_calls(code, stored=True)
+    assert rows(gr.name_candidates(calls, leading)) == rows(gr.name_candidates(calls, nodes))
+    assert rows(gr.unresolved_calls(calls, leading)) == rows(gr.unresolved_calls(calls, nodes))
+    for style in ("indent", "brace"):
+        some = gr.build_nodes(ex.span_ends(code, (style,), stored=True))
+        assert rows(gr.first_by_name(gr.build_nodes(ex.leading_functions(code, (style,), True)))) == rows(gr.first_by_name(some))
+
+
+def test_calls_of_hot_names_are_not_shuffled(spark):
+    """The same calls with and without a list of hot names, which may be defined nowhere."""
+    code = cut(ex.code_lines(_corpus(spark), whole=True), "code")
+    nodes, calls = gr.build_nodes(ex.span_ends(code, stored=True)), cut(ex.find_calls(code, stored=True), "calls")
+    hot = gr.hot_names(calls, 8)
+    names = {r.callee_name for r in hot.collect()}
+    counts = dict(calls.groupBy("callee_name").count().collect())
+    assert names == {k for k, n in counts.items() if n * 8 > sum(counts.values())} and 0 < len(names) < 8
+    assert names & set("xyz") and names & set("abc")
+    resolved = gr.resolve_callees(calls, nodes)
+    assert rows(gr.resolve_callees(calls, nodes, hot).select(*resolved.columns)) == rows(resolved)
+    assert rows(gr.name_candidates(calls, nodes, hot)) == rows(gr.name_candidates(calls, nodes))
+    none = calls.where("false")
+    assert gr.resolve_callees(none, nodes, gr.hot_names(none)).count() == 0
+
+
+def test_stored_graph_has_the_edges_of_a_plain_one(spark):
+    source = _corpus(spark)
+    stored, plain = call_graph(source), call_graph(source, materialize=False)
+    assert rows(stored.edges.select(*plain.edges.columns)) == rows(plain.edges) and plain.edges.count() > 100
+
+
 def test_missing_callers_shuffle_no_callees(spark):
     golden = spark.createDataFrame([("p", "a", "x"), ("p", "a", None), ("p", "b", "x"), ("p", None, "x"), (None, "c", "y"), ("q", "a", "x")], "project STRING, caller_id STRING, callee_id STRING")
     edges = spark.createDataFrame([("p", "a", "z"), ("p", "a", "z"), ("q", "b", "x"), (None, "c", None)], golden.schema)
