@@ -108,3 +108,13 @@ def test_numbers_equal_a_window(spark):
     got = ranked.numbered(rows, ["k"], ["o", "v"])
     assert got.count() == 5000 and got.exceptAll(want.select(*got.columns)).count() == 0
     assert ranked.numbered(rows.limit(0), ["k"], ["o"]).count() == 0
+
+
+def test_dot_ids_are_not_joined_to_their_counts(spark):
+    ids = ["a.py:1:f", "a.py:1:f", "a-py:1:f", "a_py:1:f", "b.py:2:g", None]
+    out = gr.dot_ids(spark.createDataFrame([(i,) for i in ids], "node_id STRING"))
+    text = plan(out)
+    assert "Join" not in text and len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 2  # one for equal ids, one by DOT id
+    assert sorted(map(tuple, out.select("node_id", "dot_id", "n_sharing").collect())) == [
+        ("a-py:1:f", "a_py_1_f", 3), ("a.py:1:f", "a_py_1_f", 3), ("a_py:1:f", "a_py_1_f", 3), ("b.py:2:g", "b_py_2_g", 1),
+    ]
