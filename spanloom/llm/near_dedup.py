@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .bpe import slices
+from .bpe import forget_encoders, slices
 from .common import KEYS, content_keys, read_texts, with_keys
 
 SHINGLE = 5
@@ -140,6 +140,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
 
 def _scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         row, hashes = TaskContext.get().partitionId() << 33, WordHashes()
         for batch in batches:
             for part in slices(batch):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import slices
+from .bpe import forget_encoders, slices
 from .common import read_texts
 
 #: Rated documents that the fit uses at most.
@@ -137,6 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Ordinal
     sample = grades_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         features = Features()
         for batch in batches:
             found = [features.of(t) for t in batch.column(1).to_pylist()]
@@ -168,6 +169,7 @@ def grade_documents(docs: DataFrame, labels: DataFrame, least: float = LEAST_CHA
         at = docs.columns.index("text")
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget_encoders()
             for batch in batches:
                 for part in slices(batch):
                     if part.num_rows:
@@ -177,6 +179,7 @@ def grade_documents(docs: DataFrame, labels: DataFrame, least: float = LEAST_CHA
         return docs.mapInArrow(keep, docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             for part in slices(batch):
                 if part.num_rows:

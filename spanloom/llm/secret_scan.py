@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .bpe import slices
+from .bpe import forget_encoders, slices
 from .common import KEYS, content_keys, read_texts, with_keys
 
 # Kinds in their order, patterns and least lengths of the scan's contract.
@@ -93,6 +93,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "repository")
     read = docs.select("doc_id", "text", F.col(owner).cast("string").alias("owner"), repo.cast("string").alias("repository"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         row = TaskContext.get().partitionId() << 33
         kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("from", pa.int32()), ("to", pa.int32()), ("hash", pa.binary()), ("random", pa.bool_()), ("placeholder", pa.bool_())]))
         for batch in batches:
