@@ -118,3 +118,20 @@ def test_dot_ids_are_not_joined_to_their_counts(spark):
     assert sorted(map(tuple, out.select("node_id", "dot_id", "n_sharing").collect())) == [
         ("a-py:1:f", "a_py_1_f", 3), ("a.py:1:f", "a_py_1_f", 3), ("a_py:1:f", "a_py_1_f", 3), ("b.py:2:g", "b_py_2_g", 1),
     ]
+
+
+def test_lists_are_moved_once(spark):
+    """Calls with null callers and equal rows; the same lists whether callers count as hot or not."""
+    edges = spark.range(0, 3000, 1, 4).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 > 0, F.concat(F.lit("c"), F.col("id") % 40)).alias("caller_id"),
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("f"), F.col("id") % 5)).alias("callee_id"), (F.hash("id") % 20).alias("line_start"),
+    )
+    met, spread = gr.adjacency(edges, 16), gr.adjacency(edges, 16, least=100)
+    assert len(re.findall(r"^\(\d+\) Exchange", plan(met), re.M)) == 1
+    rows = [sorted(df.collect(), key=str) for df in (met, spread)]
+    assert rows[0] == rows[1]
+    for caller in (None, "hot", "c7"):
+        mine = edges.where(F.col("caller_id").eqNullSafe(F.lit(caller))).orderBy("line_start", "callee_id").collect()
+        lists = sorted((r.part, r.callees) for r in rows[0] if r.caller_id == caller)
+        assert [c for _, part in lists for c in part] == [r.callee_id for r in mine]
+        assert [(p, len(part)) for p, part in lists] == [(i, min(16, len(mine) - 16 * i)) for i in range((len(mine) + 15) // 16)]
