@@ -135,3 +135,29 @@ def test_lists_are_moved_once(spark):
         lists = sorted((r.part, r.callees) for r in rows[0] if r.caller_id == caller)
         assert [c for _, part in lists for c in part] == [r.callee_id for r in mine]
         assert [(p, len(part)) for p, part in lists] == [(i, min(16, len(mine) - 16 * i)) for i in range((len(mine) + 15) // 16)]
+
+
+def test_names_of_endpoints_are_moved_once(spark):
+    """Repeated and missing ids, a hot callee; the same edges whether a caller counts as hot or not."""
+    ids = [f"f{i}" for i in range(40)] + ["f1", "f2", None]
+    nodes = spark.createDataFrame([(k, None if k == "f3" else f"{k}_{i}") for i, k in enumerate(ids)], "node_id STRING, name STRING")
+    edges = spark.range(0, 900, 1, 4).select(
+        F.when(F.col("id") % 3 == 0, "f1").when(F.col("id") % 20 > 0, F.concat(F.lit("f"), F.hash("id") % 50)).alias("caller_id"),
+        F.when(F.col("id") % 2 == 0, "f2").when(F.col("id") % 9 > 0, F.concat(F.lit("f"), F.col("id") % 700)).alias("callee_id"),
+        F.lit("a.py").alias("file"), F.col("id").cast("int").alias("line_start"),
+    )
+    names = {}
+    for row in nodes.collect():
+        names[row.node_id] = min([n for n in (row["name"], names.get(row.node_id)) if n], default=None)
+    names.pop(None)
+    want = sorted((*e, names[e.caller_id], names[e.callee_id]) for e in edges.collect() if e.caller_id in names and e.callee_id in names)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for least in (1 << 20, 50):
+            out = gr.edges_with_endpoints(edges, nodes, least)
+            assert len(re.findall(r"^\(\d+\) Exchange", plan(out), re.M)) == (4 if least > 50 else 9)
+            assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and out.columns[-2:] == ["caller_name", "callee_name"]
+            assert "ReusedExchange" in plan(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
